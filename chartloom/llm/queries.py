@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.llm import bpe, overlaps, pieces, qa_defects
+from chartloom.llm import bpe, overlaps, pieces, qa_defects, splits, toxicity
 from chartloom.session import table
 
 
@@ -12,6 +12,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return qa_defects.unusable_answers(table(spark, d, "qa_pairs"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.linked_pairs(table(spark, d, "qa_pairs"))
+
+
+def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign_splits(table(spark, d, "qa_pairs"), table(spark, d, "split_targets")).select("qa_id", "component", "split")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_report(table(spark, d, "qa_pairs"), table(spark, d, "split_targets"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.overlapping_pairs(table(spark, d, "qa_pairs")).select("qa_a", "qa_b")
 
@@ -32,7 +44,19 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_found, p6_report, p7_found, p7_pieces, p8_ids)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.flagged_documents(table(spark, d, "documents"), table(spark, d, "content_labels"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, d, "documents"), table(spark, d, "content_labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.source_rates(table(spark, d, "documents"), table(spark, d, "content_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_splits, p5_report, p6_found, p6_report, p7_found, p7_pieces, p8_ids, p10_found, p10_scores, p10_rates)}
 
 ORACLES: dict[str, str] = {
     "p7_found": """
