@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.llm import bpe, overlaps, pieces, qa_defects, splits, toxicity
+from chartloom.llm import bpe, mixing, overlaps, pieces, qa_defects, splits, toxicity
 from chartloom.session import table
 
 
@@ -44,6 +44,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.flagged_documents(table(spark, d, "documents"), table(spark, d, "content_labels"))
 
@@ -56,7 +64,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.source_rates(table(spark, d, "documents"), table(spark, d, "content_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_splits, p5_report, p6_found, p6_report, p7_found, p7_pieces, p8_ids, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_splits, p5_report, p6_found, p6_report, p7_found, p7_pieces, p8_ids, p9_mixture, p9_report, p10_found, p10_scores, p10_rates)}
 
 ORACLES: dict[str, str] = {
     "p7_found": """
