@@ -30,6 +30,7 @@ from chartloom.session import materialise
 
 BLOCK = 5000  # documents flown together
 EPS = 1e-9
+TURNS = 32  # documents by which the landing may leave the count constraint
 
 
 def flight(probability: list[float], size: list[float], rng: random.Random) -> list[float]:
@@ -71,7 +72,7 @@ def landing(probability: list[float], size: list[float], goal: float) -> list[fl
     """The rounding of the last undecided documents whose tokens come closest to the expected.
 
     The constraint on the number of documents is dropped last: one document more or less is
-    taken where that brings the tokens closer to ``goal``.
+    taken, again and again, where that brings the tokens closer to ``goal``.
     """
     p = list(probability)
     last = [i for i in range(len(p)) if EPS < p[i] < 1 - EPS]
@@ -81,9 +82,12 @@ def landing(probability: list[float], size: list[float], goal: float) -> list[fl
         p[i] = float(best >> k & 1)
     p = [float(x > 0.5) for x in p]
     off = sum(x * s for x, s in zip(p, size)) - goal
-    turn = min(range(len(p)), key=lambda i: (abs(off + (size[i] if p[i] == 0 else -size[i])), i), default=None)
-    if turn is not None and abs(off + (size[turn] if p[turn] == 0 else -size[turn])) < abs(off):
-        p[turn] = 1.0 - p[turn]
+    for _ in range(TURNS):
+        turn = min(range(len(p)), key=lambda i: (abs(off + (size[i] if p[i] == 0 else -size[i])), i), default=None)
+        after = off if turn is None else off + (size[turn] if p[turn] == 0 else -size[turn])
+        if abs(after) >= abs(off):
+            break
+        p[turn], off = 1.0 - p[turn], after
     return p
 
 
