@@ -15,6 +15,7 @@ EVENT_HEADERS = {
     "diagnosis": "CLINICAL DIAGNOSES:", "lab": "CLINICAL LABORATORY VALUES:", "vital": "CLINICAL VITAL SIGNS:",
     "medication": "CLINICAL MEDICATIONS ADMINISTERED:", "procedure": "CLINICAL PROCEDURES PERFORMED:",
 }
+GENERIC_FIELDS = ["timestamp", "end_time", "label", "value", "valuenum", "unit", "flag", "drug", "dose", "dose_unit", "route", "seq_num", "icd_code", "title"]
 
 
 def keep_ids(fact: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -53,13 +54,16 @@ def event_line(kind: Column, ev) -> Column:
     value = _first(ev("value"), ev("valuenum"))
     lab = F.rtrim(F.concat(F.lit("  "), formatted(ev("timestamp")), F.lit("  "), _first(ev("label"), F.lit("unknown")), F.lit(": "), value, F.lit(" "), formatted(ev("unit"))))
     lab = F.concat(lab, F.when(formatted(ev("flag")) != "", F.concat(F.lit(" ["), formatted(ev("flag")), F.lit("]"))).otherwise(""))
-    dose = F.rtrim(F.concat(formatted(ev("dose")), F.lit(" "), formatted(ev("dose_unit"))))
-    med = F.rtrim(F.concat(F.lit("  "), formatted(ev("timestamp")), F.lit("  "), _first(ev("drug"), F.lit("unknown")), F.lit(" "), dose, F.when(formatted(ev("route")) != "", F.concat(F.lit(" "), formatted(ev("route")))).otherwise("")))
+    dose = F.when(formatted(ev("dose")) != "", F.rtrim(F.concat(F.lit(" "), formatted(ev("dose")), F.lit(" "), formatted(ev("dose_unit"))))).otherwise("")
+    route = F.when(formatted(ev("route")) != "", F.concat(F.lit(" ("), formatted(ev("route")), F.lit(")"))).otherwise("")
+    med = F.concat(F.lit("  "), formatted(ev("timestamp")), F.lit("  "), _first(ev("drug"), F.lit("unknown")), dose, route)
     vital = F.rtrim(F.concat(F.lit("  "), formatted(ev("timestamp")), F.lit("  "), _first(ev("label"), F.lit("unknown")), F.lit(": "), value, F.lit(" "), formatted(ev("unit"))))
-    proc = F.concat(F.lit("  "), formatted(ev("timestamp")), F.lit("  "), _first(ev("title"), ev("icd_code"), F.lit("unknown")))
+    title = _first(ev("title"), ev("icd_code"))
+    proc = F.rtrim(F.concat(F.lit("  "), formatted(ev("timestamp")), F.lit("  "), title))
     number = F.when(ev("seq_num").isNotNull(), F.concat(F.lit("  "), ev("seq_num").cast("string"), F.lit(". "))).otherwise("  - ")
-    dx = F.concat(number, _first(ev("title"), ev("icd_code"), F.lit("unknown")))
-    return F.when(kind == "lab", lab).when(kind == "medication", med).when(kind == "vital", vital).when(kind == "procedure", proc).when(kind == "diagnosis", dx).otherwise(F.concat(F.lit("  "), formatted(ev("timestamp")), F.lit("  "), formatted(ev("label"))))
+    pairs = [F.when(formatted(ev(f)) != "", F.concat(F.lit(f"{f}="), formatted(ev(f)))) for f in GENERIC_FIELDS]
+    other = F.concat(F.lit("  "), F.concat_ws(", ", *pairs))
+    return F.when(kind == "lab", lab).when(kind == "medication", med).when(kind == "vital", vital).when(kind == "procedure", proc).when(kind == "diagnosis", F.concat(number, title)).otherwise(other)
 
 
 def event_document(events: Column) -> Column:
