@@ -51,7 +51,7 @@ def reading_order(picked: DataFrame, keys: list[str], text: str = "chunk") -> Da
 
 def terms_1_2(c: Column) -> Column:
     """Words of two letters or more and their neighbours in pairs."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"\b([a-z0-9_]{2,})\b"), F.lit(1))
+    words = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]{2,})"), F.lit(1))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(words, pairs)
 
