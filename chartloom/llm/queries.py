@@ -70,6 +70,6 @@ ORACLES: dict[str, str] = {
     "p7_found": """
         SELECT record_id, 'discharge_summary' AS oversized_field FROM patient_timelines WHERE length(discharge_summary) > 6000
         UNION
-        SELECT record_id, 'events' FROM patient_timelines WHERE len(list_filter(events, e -> e IS NOT NULL)) > 150
+        SELECT record_id, 'events' FROM patient_timelines WHERE len(list_filter(events, lambda e: e IS NOT NULL)) > 150
     """,
 }
