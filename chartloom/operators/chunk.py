@@ -27,8 +27,12 @@ def windows(tokens: Column, section: Column, header: Column, size: int = SIZE, s
 def fixed_chunks(notes: DataFrame, text: str, size: int = SIZE, stride: int = STRIDE) -> DataFrame:
     """``notes`` rows exploded to chunk_idx, text_chunk, section, section_header and position. No shuffle."""
     kept = [c for c in notes.columns if c != text]
-    w = windows(blank_tokens(F.coalesce(F.col(text), F.lit(""))), F.lit("other"), F.lit(""), size, stride)
-    return notes.select(*kept, F.posexplode(w).alias("chunk_idx", "c")).select(*kept, "chunk_idx", F.col("c.text").alias("chunk"), "c.section", "c.section_header", "c.position")
+    # Tokens are a column of their own: a lambda would split the text again for every window.
+    rows = notes.select(*kept, blank_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    w = windows(F.col("_t"), F.lit("other"), F.lit(""), size, stride)
+    # The outer form keeps the optimizer from evaluating the windows once more as a filter.
+    out = rows.select(*kept, F.posexplode_outer(w).alias("chunk_idx", "c")).where("chunk_idx IS NOT NULL")
+    return out.select(*kept, "chunk_idx", F.col("c.text").alias("chunk"), "c.section", "c.section_header", "c.position")
 
 
 def _sections(text: Column) -> Column:
@@ -52,7 +56,7 @@ def section_lines(notes: DataFrame, key: str, text: str) -> DataFrame:
 
     The lines of a note are folded in order inside its own row, so nothing is shuffled.
     """
-    s = notes.select(key, F.posexplode(_sections(F.coalesce(F.col(text), F.lit("")))).alias("section_no", "s"))
+    s = notes.select(key, F.posexplode_outer(_sections(F.coalesce(F.col(text), F.lit("")))).alias("section_no", "s")).where("section_no IS NOT NULL")
     header = F.regexp_replace("s.header", ":$", "")
     return s.select(key, "section_no", header.alias("header"), section_of(header).alias("section"), strip_blank(F.col("s.body")).alias("body"))
 
@@ -60,19 +64,22 @@ def section_lines(notes: DataFrame, key: str, text: str) -> DataFrame:
 def section_chunks(notes: DataFrame, key: str, text: str) -> DataFrame:
     """(key, chunk_idx, chunk, section, section_header, position); fewer than three sections fall back to windows."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = notes.select(key, body.alias("_t"), _sections(body).alias("_s"))
+    rows = notes.select(key, blank_tokens(body).alias("_t"), _sections(body).alias("_s"))
 
-    def pieces(s: Column) -> Column:
-        header = F.regexp_replace(s["header"], ":$", "")
-        tokens = blank_tokens(s["body"])
-        whole = F.array(F.struct(strip_blank(s["body"]).alias("text"), section_of(header).alias("section"), header.alias("section_header"), F.lit(0.0).alias("position"), F.lit(0).alias("start")))
-        return F.when(F.size(tokens) > MAX_SECTION, windows(tokens, section_of(header), header)).otherwise(whole)
+    def described(x: Column) -> Column:
+        header = F.regexp_replace(x["header"], ":$", "")
+        return F.struct(header.alias("header"), section_of(header).alias("section"), strip_blank(x["body"]).alias("body"), blank_tokens(x["body"]).alias("tokens"))
+
+    rows = rows.select(key, "_t", F.transform("_s", described).alias("_s"))
+
+    def pieces(x: Column) -> Column:
+        whole = F.array(F.struct(x["body"].alias("text"), x["section"].alias("section"), x["header"].alias("section_header"), F.lit(0.0).alias("position"), F.lit(0).alias("start")))
+        return F.when(F.size(x["tokens"]) > MAX_SECTION, windows(x["tokens"], x["section"], x["header"])).otherwise(whole)
 
     by_section = F.flatten(F.transform("_s", pieces))
-    fallback = windows(blank_tokens(F.col("_t")), F.lit("other"), F.lit(""))
+    fallback = windows(F.col("_t"), F.lit("other"), F.lit(""))
     rows = rows.select(key, (F.size("_s") < 3).alias("_fixed"), F.when(F.size("_s") < 3, fallback).otherwise(by_section).alias("_c"))
-    total = F.size("_c")
-    out = rows.select(key, "_fixed", total.alias("_n"), F.posexplode("_c").alias("chunk_idx", "c"))
+    out = rows.select(key, "_fixed", F.size("_c").alias("_n"), F.posexplode_outer("_c").alias("chunk_idx", "c")).where("chunk_idx IS NOT NULL")
     position = F.when(F.col("_fixed"), F.col("c.position")).otherwise(F.col("chunk_idx") / F.greatest(F.col("_n") - 1, F.lit(1)))
     return out.select(key, "chunk_idx", F.col("c.text").alias("chunk"), "c.section", "c.section_header", position.cast("double").alias("position"))
 

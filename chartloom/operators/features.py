@@ -32,21 +32,22 @@ def pair_features(pairs: DataFrame) -> DataFrame:
     """
     have = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in pairs.columns else F.lit(d)
     q, c = F.col("question"), F.col("chunk")
-    length = F.size(T.blank_tokens(c))
+    pairs = pairs.withColumns({"_qt": T.alnum_tokens(q), "_ct": T.alnum_tokens(c), "_len": F.size(T.blank_tokens(c))})
+    length = F.col("_len")
     markers = T.count_matches(c, T.TEMPORAL_MARKER)
     header = F.coalesce("section_header", F.lit(""))
     own = {
         "embed_sim": have("embed_sim", 0.0), "tfidf_sim": have("tfidf_sim", 0.0),
-        "lexical_overlap": T.overlap_share(T.alnum_tokens(q), T.alnum_tokens(c)),
+        "lexical_overlap": T.overlap_share(F.col("_qt"), F.col("_ct")),
         "position": F.coalesce("position", F.lit(0.5)), "log_length": F.log1p(length),
         "has_temporal_marker": (markers > 0).cast("double"), "temporal_density": markers / F.greatest(length, F.lit(1)),
         "has_critical_event": T.has_match(c, T.CRITICAL_EVENT), "has_abnormal_lab": T.has_match(c, T.ABNORMAL_LAB),
         **T.temporal_proximity(c, have("dischtime", None).cast("string")),
         "section": F.when(F.col("section").isin(*T.SECTIONS), F.col("section")).otherwise("other"), "qtype": T.question_type(q),
-        "content_word_overlap": T.overlap_share(T.alnum_tokens(q), T.alnum_tokens(c), T.STOPWORDS), "numeric_density": T.numeric_density(c),
+        "content_word_overlap": T.overlap_share(F.col("_qt"), F.col("_ct"), T.STOPWORDS), "numeric_density": T.numeric_density(c),
         **{name: T.has_match(header, p) for name, p in T.HEADER_FLAGS.items()},
     }
-    return pairs.withColumns(own)
+    return pairs.withColumns(own).drop("_qt", "_ct", "_len")
 
 
 def _index(c: Column, names: list[str]) -> Column:

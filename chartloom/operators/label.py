@@ -6,18 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chartloom.functions.text import BOOST_SECTIONS, MEASUREMENT, alnum_tokens, alpha_tokens, entity_tokens, token_f1
+from chartloom.functions.text import BOOST_SECTIONS, MEASUREMENT, alpha_tokens, entity_tokens, token_f1
 
 THRESHOLD = 0.15
 
 
-def weak_label(chunk: Column, answer: Column, threshold: float = THRESHOLD, question: Column | None = None, section: Column | None = None) -> Column:
-    """1 if the chunk's token F1 with the answer reaches the threshold, or, given the question, it measures one of its entities."""
-    hit = token_f1(alnum_tokens(chunk), alnum_tokens(answer))[2] >= threshold
-    if question is not None and section is not None:
-        shared = F.size(F.array_intersect(entity_tokens(question), alpha_tokens(chunk))) > 0
-        hit = hit | (shared & section.isin(*BOOST_SECTIONS) & chunk.rlike(f"(?i){MEASUREMENT}"))
-    return hit.cast("int")
+def weak_label(chunk_tokens: Column, answer_tokens: Column, threshold: float = THRESHOLD, boost: Column | None = None) -> Column:
+    """1 if the token F1 of chunk and answer reaches the threshold, or where ``boost`` holds.
+
+    The tokens should be columns, not expressions, so that they are made once per row; the
+    overlap is counted along the answer, the shorter of the two.
+    """
+    hit = token_f1(answer_tokens, chunk_tokens)[2] >= threshold
+    return (hit if boost is None else hit | boost).cast("int")
+
+
+def entity_boost(question: Column, chunk: Column, section: Column) -> Column:
+    """Whether the chunk stands in a data section and measures an entity the question names."""
+    shared = F.size(F.array_intersect(entity_tokens(question), alpha_tokens(chunk))) > 0
+    return shared & section.isin(*BOOST_SECTIONS) & chunk.rlike(f"(?i){MEASUREMENT}")
 
 
 def seeded(key: Column, seed: int) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,15 +82,29 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def hashed_vectors(dims: int = 64) -> Callable[[Column], Column]:
+    """A stand-in encoder: unit vectors of hashed word counts, in Arrow batches. Any encoder of the same form fits."""
+
+    @F.pandas_udf("array<double>")
+    def encode(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            v = np.zeros(dims)
+            for w in re.findall("[a-z0-9]+", (t or "").lower()):
+                v[zlib.crc32(w.encode()) % dims] += 1.0
+            n = np.linalg.norm(v)
+            out.append(v / n if n else v)
+        return pd.Series(out)
+
+    return encode
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, blocks: int = 64) -> DataFrame:
     """(query_id, item_id, score, rank): the k items closest to each query.
 
     The query set is broadcast in blocks of a stated size, every item meets each query once
     and only k candidates per query and task are kept before the shuffle.
     """
-    import numpy as np
-    import pandas as pd
-
     rows = queries.select("query_id", "embedding").limit(blocks * 4096 + 1).collect()
     if len(rows) > blocks * 4096:
         raise ValueError("too many queries for one pass; split the query set")
@@ -121,14 +139,18 @@ def count_blank_tokens(c: Column) -> Column:
 
 def cut_to_budget(text: Column, question: Column, budget: int = BUDGET) -> Column:
     """Text within the budget left by the prompt around the question; unchanged if it fits."""
-    tokens = blank_tokens(text)
+    return _cut(text, blank_tokens(text), question, budget)
+
+
+def _cut(text: Column, tokens: Column, question: Column, budget: int) -> Column:
     room = F.greatest(F.lit(budget) - count_blank_tokens(user_prompt(F.lit(""), question)), F.lit(0))
     return F.when(F.size(tokens) <= room, text).otherwise(F.array_join(F.slice(tokens, 1, room), " "))
 
 
 def _prompt(rows: DataFrame, full: Column, method: str, budget: int) -> DataFrame:
-    context = cut_to_budget(full, F.col("question"), budget)
-    out = rows.withColumn("_context", context)
+    # Text and tokens are columns of their own, so neither is made more than once.
+    out = rows.withColumn("_full", full).withColumn("_tokens", blank_tokens(F.col("_full")))
+    out = out.withColumn("_context", _cut(F.col("_full"), F.col("_tokens"), F.col("question"), budget))
     return out.select("qa_id", "record_id", F.lit(method).alias("method"), user_prompt(F.col("_context"), F.col("question")).alias("user_prompt"), count_blank_tokens(F.col("_context")).alias("context_tokens"))
 
 

@@ -117,5 +117,6 @@ def rouge_l_column(predicted: Column, gold: Column) -> Column:
 
 def score_answers(rows: DataFrame, predicted: str, gold: str) -> DataFrame:
     """``rows`` with the six answer scores; two empty answers agree fully on tokens."""
-    p, r, f = token_f1(alnum_tokens(F.coalesce(F.col(predicted), F.lit(""))), alnum_tokens(F.coalesce(F.col(gold), F.lit(""))), 1.0)
-    return rows.withColumns({"token_precision": p, "token_recall": r, "token_f1": f}).withColumn("_r", rouge_l_column(F.col(predicted), F.col(gold))).select("*", "_r.*").drop("_r")
+    rows = rows.withColumns({"_pt": alnum_tokens(F.coalesce(F.col(predicted), F.lit(""))), "_gt": alnum_tokens(F.coalesce(F.col(gold), F.lit("")))})
+    p, r, f = token_f1(F.col("_pt"), F.col("_gt"), 1.0)
+    return rows.withColumns({"token_precision": p, "token_recall": r, "token_f1": f}).drop("_pt", "_gt").withColumn("_r", rouge_l_column(F.col(predicted), F.col(gold))).select("*", "_r.*").drop("_r")

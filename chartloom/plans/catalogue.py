@@ -39,10 +39,11 @@ STRIP = lambda c: f"regexp_replace({c}, '^{BLANK}+|{BLANK}+$', '', 'g')"  # noqa
 FMT = lambda c: f"coalesce({STRIP(f'CAST({c} AS VARCHAR)')}, '')"
 
 
-def notes(spark: SparkSession, d: str) -> DataFrame:
-    """The latest delivery of each stay's record."""
+def notes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """``columns`` of the latest delivery of each stay's record; only they are read and shuffled."""
     rows = table(spark, d, "patient_timelines").where("subject_id IS NOT NULL AND hadm_id IS NOT NULL")
-    return tl.latest_per_key(rows, ["subject_id", "hadm_id"], ["loaded_at", "record_id"])
+    kept = dict.fromkeys(["record_id", "loaded_at", *columns])
+    return tl.latest_per_key(rows.select("subject_id", "hadm_id", *kept), ["subject_id", "hadm_id"], ["loaded_at", "record_id"])
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -50,16 +51,16 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    n = notes(spark, d).select("subject_id", "hadm_id", "record_id", *columns)
+    n = notes(spark, d, *columns).select("subject_id", "hadm_id", "record_id", *columns)
     return questions(spark, d).select("qa_id", "subject_id", "hadm_id", "question", "answer").join(n, ["subject_id", "hadm_id"]).drop("subject_id", "hadm_id")
 
 
 def note_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunk.section_chunks(notes(spark, d), "record_id", "discharge_summary")
+    return chunk.section_chunks(notes(spark, d, "discharge_summary"), "record_id", "discharge_summary")
 
 
 def fixed_note_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunk.fixed_chunks(notes(spark, d).select("record_id", "discharge_summary"), "discharge_summary")
+    return chunk.fixed_chunks(notes(spark, d, "discharge_summary").select("record_id", "discharge_summary"), "discharge_summary")
 
 
 # ---- scans, filters and joins --------------------------------------------------------------
@@ -107,7 +108,7 @@ def head_n_driver(spark, d):
 
 @query(f"WITH {NOTES_SQL} SELECT subject_id, hadm_id, record_id, length(discharge_summary) AS n_chars FROM notes")
 def notes_latest_wins(spark, d):
-    return notes(spark, d).select("subject_id", "hadm_id", "record_id", F.char_length("discharge_summary").cast("bigint").alias("n_chars"))
+    return notes(spark, d, "discharge_summary").select("subject_id", "hadm_id", "record_id", F.char_length("discharge_summary").cast("bigint").alias("n_chars"))
 
 
 @query("""SELECT subject_id, hadm_id, admittime, dischtime, admission_type FROM admissions
@@ -142,7 +143,7 @@ EVENTS_SQL = f"""{NOTES_SQL}, flat AS (SELECT record_id, i, e.* FROM (SELECT rec
 
 
 def sorted_rows(spark: SparkSession, d: str) -> DataFrame:
-    s = notes(spark, d).select("record_id", tl.sorted_events(F.col("events")).alias("events"))
+    s = notes(spark, d, "events").select("record_id", tl.sorted_events(F.col("events")).alias("events"))
     return s.select("record_id", F.posexplode("events").alias("pos", "e")).select("record_id", F.col("pos").cast("bigint").alias("pos"), "e.*")
 
 
@@ -175,13 +176,13 @@ HEAD_CASE = " ".join(f"WHEN '{t}' THEN '{h}'" for t, h in tl.EVENT_HEADERS.items
     docs AS (SELECT record_id, string_agg(b, chr(10) || chr(10) ORDER BY CASE event_type {ORDER_CASE} END) AS doc FROM blocks GROUP BY record_id)
     SELECT record_id, length(doc) AS n_chars, md5(doc) AS digest FROM docs""")
 def event_document(spark, d):
-    doc = tl.event_document(tl.sorted_events(F.col("events")))
-    return notes(spark, d).select("record_id", doc.alias("doc")).where("doc <> ''").select("record_id", F.char_length("doc").cast("bigint").alias("n_chars"), F.md5("doc").alias("digest"))
+    rows = notes(spark, d, "events").select("record_id", tl.sorted_events(F.col("events")).alias("events"))
+    return rows.select("record_id", tl.event_document(F.col("events")).alias("doc")).where("doc <> ''").select("record_id", F.char_length("doc").cast("bigint").alias("n_chars"), F.md5("doc").alias("digest"))
 
 
 @query(f"WITH {EVENTS_SQL}, n AS (SELECT record_id, count(*) AS n FROM ev GROUP BY 1) SELECT record_id, pos, event_type FROM ev JOIN n USING (record_id) WHERE pos >= n - 25")
 def recency_last_n(spark, d):
-    s = notes(spark, d).select("record_id", tl.sorted_events(F.col("events")).alias("events"))
+    s = notes(spark, d, "events").select("record_id", tl.sorted_events(F.col("events")).alias("events"))
     first = F.greatest(F.size("events") - 25, F.lit(0))
     rows = s.select("record_id", first.alias("first"), F.posexplode(F.slice("events", first + 1, 25)).alias("i", "e"))
     return rows.select("record_id", (F.col("first") + F.col("i")).cast("bigint").alias("pos"), "e.event_type")
@@ -260,7 +261,7 @@ LINES_SQL = f"""{NOTES_SQL}, l AS (SELECT record_id, generate_subscripts(string_
 
 @query(f"WITH {LINES_SQL} SELECT record_id, section_no, header, section, md5(body) AS digest FROM sections")
 def section_split(spark, d):
-    s = chunk.section_lines(notes(spark, d), "record_id", "discharge_summary")
+    s = chunk.section_lines(notes(spark, d, "discharge_summary"), "record_id", "discharge_summary")
     return s.select("record_id", F.col("section_no").cast("bigint").alias("section_no"), "header", "section", F.md5("body").alias("digest"))
 
 
@@ -284,7 +285,7 @@ FLAG_SQL = ", ".join(f"CAST(regexp_matches(header, '(?i){p}') AS INTEGER) AS {n}
 
 @query(f"WITH {LINES_SQL} SELECT header, section, count(*) AS n, {FLAG_SQL} FROM sections GROUP BY header, section")
 def section_classify(spark, d):
-    s = chunk.section_lines(notes(spark, d), "record_id", "discharge_summary").groupBy("header", "section").agg(F.count(F.lit(1)).alias("n"))
+    s = chunk.section_lines(notes(spark, d, "discharge_summary"), "record_id", "discharge_summary").groupBy("header", "section").agg(F.count(F.lit(1)).alias("n"))
     return s.select("header", "section", "n", *[T.has_match(F.col("header"), p).cast("int").alias(n) for n, p in T.HEADER_FLAGS.items()])
 
 
@@ -338,8 +339,9 @@ F1 = lambda a, b, e: f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN {e} WHEN len
 @query(f"""WITH t AS (SELECT qa_id, {ALNUM('question')} AS q, {ALNUM("coalesce(answer, '')")} AS a FROM qa_pairs WHERE question IS NOT NULL)
     SELECT qa_id, round({F1('q', 'a', '0.0')}, 6) AS f1_label, round({F1('a', 'a', '1.0')}, 6) AS f1_self FROM t""")
 def token_f1_pairs(spark, d):
-    q, a = T.alnum_tokens(F.col("question")), T.alnum_tokens(F.coalesce("answer", F.lit("")))
-    return table(spark, d, "qa_pairs").where("question IS NOT NULL").select("qa_id", F.round(T.token_f1(q, a)[2], 6).alias("f1_label"), F.round(T.token_f1(a, a, 1.0)[2], 6).alias("f1_self"))
+    q, a = F.col("q"), F.col("a")
+    rows = table(spark, d, "qa_pairs").where("question IS NOT NULL").select("qa_id", T.alnum_tokens(F.col("question")).alias("q"), T.alnum_tokens(F.coalesce("answer", F.lit(""))).alias("a"))
+    return rows.select("qa_id", F.round(T.token_f1(q, a)[2], 6).alias("f1_label"), F.round(T.token_f1(a, a, 1.0)[2], 6).alias("f1_self"))
 
 
 @query(f"""WITH {EVENTS_SQL}, t AS (SELECT ev.record_id, pos, regexp_extract(ev.timestamp, '{T.TIMESTAMP}', 1) AS ts, CAST(n.admission.dischtime AS VARCHAR)[1:19] AS dt FROM ev JOIN notes n USING (record_id)),
@@ -348,7 +350,7 @@ def token_f1_pairs(spark, d):
     SELECT record_id, pos, round(CASE WHEN days IS NULL THEN 0.5 ELSE least(days / 30.0, 1.0) END, 4) AS days_to_discharge, CASE WHEN days <= 1 THEN 1 ELSE 0 END AS is_within_24h,
     CASE WHEN days <= 7 THEN 1 ELSE 0 END AS is_within_1week, CASE WHEN days IS NULL THEN 1 ELSE 0 END AS has_no_timestamp FROM x""")
 def temporal_proximity(spark, d):
-    s = notes(spark, d).select("record_id", F.date_format("admission.dischtime", "yyyy-MM-dd HH:mm:ss").alias("dt"), tl.sorted_events(F.col("events")).alias("events"))
+    s = notes(spark, d, "admission", "events").select("record_id", F.date_format("admission.dischtime", "yyyy-MM-dd HH:mm:ss").alias("dt"), tl.sorted_events(F.col("events")).alias("events"))
     rows = s.select("record_id", "dt", F.posexplode("events").alias("pos", "e"))
     out = T.temporal_proximity(F.coalesce(F.col("e.timestamp"), F.lit("")), F.col("dt"))
     return rows.select("record_id", F.col("pos").cast("bigint").alias("pos"), F.round(out["days_to_discharge"], 4).alias("days_to_discharge"), *[out[k].cast("int").alias(k) for k in ("is_within_24h", "is_within_1week", "has_no_timestamp")])
@@ -365,8 +367,8 @@ FAST_F1 = f"""tq AS (SELECT qa_id, unnest({ALNUM('answer')}) AS term FROM asked)
 
 def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every question with every chunk of its own record: a join by record, never over records."""
-    rows = asked(spark, d).join(note_chunks(spark, d), "record_id")
-    return rows.withColumn("label", label.weak_label(F.col("chunk"), F.col("answer")))
+    rows = asked(spark, d).withColumn("_a", T.alnum_tokens(F.col("answer"))).join(note_chunks(spark, d).withColumn("_c", T.alnum_tokens(F.col("chunk"))), "record_id")
+    return rows.withColumn("label", label.weak_label(F.col("_c"), F.col("_a"))).drop("_a", "_c")
 
 
 @query(f"WITH {PAIRS_SQL}, {FAST_F1} SELECT qa_id, chunk_idx, label FROM labelled")
@@ -380,8 +382,9 @@ ENTITY_SQL = "[" + ", ".join(f"'{e}'" for e in T.ENTITIES) + "]"
 @query(f"""WITH {PAIRS_SQL}, {FAST_F1} SELECT qa_id, chunk_idx, CASE WHEN label = 1 OR (section IN ('labs', 'vitals', 'medications', 'results') AND regexp_matches(chunk, '(?i){T.MEASUREMENT}')
     AND len(list_intersect(list_intersect(regexp_extract_all(lower(question), '[a-z]+'), {ENTITY_SQL}), regexp_extract_all(lower(chunk), '[a-z]+'))) > 0) THEN 1 ELSE 0 END AS label FROM labelled""")
 def entity_boost_labels(spark, d):
-    rows = asked(spark, d).join(note_chunks(spark, d), "record_id")
-    return rows.select("qa_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), label.weak_label(F.col("chunk"), F.col("answer"), question=F.col("question"), section=F.col("section")).alias("label"))
+    rows = asked(spark, d).withColumn("_a", T.alnum_tokens(F.col("answer"))).join(note_chunks(spark, d).withColumn("_c", T.alnum_tokens(F.col("chunk"))), "record_id")
+    boost = label.entity_boost(F.col("question"), F.col("chunk"), F.col("section"))
+    return rows.select("qa_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), label.weak_label(F.col("_c"), F.col("_a"), boost=boost).alias("label"))
 
 
 @query(f"""WITH {PAIRS_SQL}, {FAST_F1}, k AS (SELECT qa_id, chunk_idx, label, sum(label) OVER (PARTITION BY qa_id) AS pos, row_number() OVER (PARTITION BY qa_id, label ORDER BY sha256(qa_id || ':' || chunk_idx || '|42')) AS r FROM labelled)
@@ -540,12 +543,7 @@ def full_context_prompt(spark, d):
 @query()
 def semantic_rag_prompt(spark, d):
     """Top chunks by cosine of hashed term vectors, a stand-in encoder for pre-computed embeddings."""
-    def encode(c):
-        terms = T.alnum_tokens(c)
-        raw = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(64)) == i)).cast("double"))
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-        return F.when(norm > 0, F.transform(raw, lambda x: x / norm)).otherwise(raw)
-
+    encode = retrieve.hashed_vectors()
     rows = asked(spark, d, "discharge_summary")
     chunks = note_chunks(spark, d).withColumn("cv", encode(F.col("chunk")))
     scored = rows.select("qa_id", "record_id", encode(F.col("question")).alias("qv")).join(chunks.select("record_id", "chunk_idx", "cv"), "record_id").withColumn("score", retrieve.cosine(F.col("qv"), F.col("cv")))
@@ -556,7 +554,7 @@ def semantic_rag_prompt(spark, d):
 
 
 def feature_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = labelled_pairs(spark, d).join(notes(spark, d).select("record_id", F.date_format("admission.dischtime", "yyyy-MM-dd HH:mm:ss").alias("dischtime")), "record_id")
+    rows = labelled_pairs(spark, d).join(notes(spark, d, "admission").select("record_id", F.date_format("admission.dischtime", "yyyy-MM-dd HH:mm:ss").alias("dischtime")), "record_id")
     return features.pair_features(rows)
 
 
