@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chartloom.functions.text import blank_tokens
-from chartloom.operators.timeline import event_document, named_values
+from chartloom.operators.timeline import event_document, event_lines, named_values
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BUDGET = 4096
@@ -158,18 +158,28 @@ def discharge_only(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
     return _prompt(rows, F.coalesce("discharge_summary", F.lit("")), "discharge_only", budget)
 
 
+def record_texts(records: DataFrame, n: int = 25) -> DataFrame:
+    """``records`` with full_text and recent_text, made once per record before questions are joined."""
+    none = F.array().cast(records.schema["events"].dataType)
+    demo = named_values("demographics", [f.name for f in records.schema["demographics"].dataType.fields], "DEMOGRAPHICS:")
+    adm = named_values("admission", [f.name for f in records.schema["admission"].dataType.fields], "ADMISSION:")
+    rows = records.withColumn("_all", F.coalesce("events", none))
+    rows = rows.withColumn("_n", F.size("_all")).withColumn("_at", F.transform("_all", lambda e, i: F.struct(i.alias("i"), e.alias("e"))))
+    rows = rows.withColumn("_lines", event_lines(F.col("_all")))
+    live = F.transform(F.filter("_at", lambda x: x["e"].isNotNull()), lambda x: x["i"])
+    rows = rows.withColumn("_recent", F.slice("_lines", F.size("_lines") - F.size(F.filter(live, lambda i: i >= F.col("_n") - n)) + 1, n))
+    note = F.nullif("discharge_summary", F.lit(""))
+    full = F.concat_ws("\n\n", demo, adm, F.nullif(event_document(F.col("_lines")), F.lit("")), note)
+    recent = F.concat_ws("\n\n", note, F.nullif(event_document(F.col("_recent")), F.lit("")))
+    return rows.withColumns({"full_text": full, "recent_text": recent}).drop("_all", "_at", "_n", "_lines", "_recent")
+
+
 def full_context(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
-    demo = named_values("demographics", [f.name for f in rows.schema["demographics"].dataType.fields], "DEMOGRAPHICS:")
-    adm = named_values("admission", [f.name for f in rows.schema["admission"].dataType.fields], "ADMISSION:")
-    events = F.nullif(event_document(F.coalesce("events", F.array().cast(rows.schema["events"].dataType))), F.lit(""))
-    return _prompt(rows, F.concat_ws("\n\n", demo, adm, events, F.nullif("discharge_summary", F.lit(""))), "full_context", budget)
+    return _prompt(rows, F.col("full_text"), "full_context", budget)
 
 
 def recency(rows: DataFrame, n: int = 25, budget: int = BUDGET) -> DataFrame:
-    events = F.coalesce("events", F.array().cast(rows.schema["events"].dataType))
-    recent = F.when(F.size(events) > n, F.slice(events, -n, n)).otherwise(events)
-    text = F.concat_ws("\n\n", F.nullif("discharge_summary", F.lit("")), F.nullif(event_document(recent), F.lit("")))
-    return _prompt(rows, text, f"recency_n{n}", budget)
+    return _prompt(rows, F.col("recent_text"), f"recency_n{n}", budget)
 
 
 def from_scores(rows: DataFrame, chunks: DataFrame, scored: DataFrame, method: str, k: int = 5, budget: int = BUDGET) -> DataFrame:

@@ -66,18 +66,24 @@ def event_line(kind: Column, ev) -> Column:
     return F.when(kind == "lab", lab).when(kind == "medication", med).when(kind == "vital", vital).when(kind == "procedure", proc).when(kind == "diagnosis", F.concat(number, title)).otherwise(other)
 
 
-def event_document(events: Column) -> Column:
-    """The events of a record as text: a heading and lines per type in fixed order, other types after."""
+def event_lines(events: Column) -> Column:
+    """Array of (kind, line) of the non-null events: every line is written once."""
     live = F.filter(events, lambda e: e.isNotNull())
+    return F.transform(live, lambda e: F.struct(e["event_type"].alias("kind"), event_line(e["event_type"], lambda f: e[f]).alias("line")))
 
-    def block(kind: str) -> Column:
-        own = F.filter(live, lambda e: e["event_type"] == kind)
-        lines = F.array_join(F.transform(own, lambda e: event_line(e["event_type"], lambda f: e[f])), "\n")
-        return F.when(F.size(own) > 0, F.concat(F.lit(EVENT_HEADERS[kind] + "\n"), lines))
 
-    others = F.array_sort(F.array_distinct(F.filter(F.transform(live, lambda e: e["event_type"]), lambda t: ~t.isin(*EVENT_ORDER))))
-    rest = F.transform(others, lambda t: F.concat(F.lit("CLINICAL "), F.upper(t), F.lit(":\n"), F.array_join(F.transform(F.filter(live, lambda e: e["event_type"] == t), lambda e: event_line(e["event_type"], lambda f: e[f])), "\n")))
-    return F.concat_ws("\n\n", *[block(k) for k in EVENT_ORDER], rest)
+def event_document(lines: Column) -> Column:
+    """Lines of a record's events as text: a heading and lines per type in fixed order, other types after."""
+    order = F.array(*[F.lit(k) for k in EVENT_ORDER])
+    heads = F.create_map(*[F.lit(x) for kv in EVENT_HEADERS.items() for x in kv])
+    present = F.array_distinct(F.transform(lines, lambda x: x["kind"]))
+    kinds = F.concat(F.array_intersect(order, present), F.array_sort(F.filter(F.array_except(present, order), lambda k: k.isNotNull())))
+
+    def block(kind: Column) -> Column:
+        head = F.coalesce(F.try_element_at(heads, kind), F.concat(F.lit("CLINICAL "), F.upper(kind), F.lit(":")))
+        return F.concat(head, F.lit("\n"), F.array_join(F.transform(F.filter(lines, lambda x: x["kind"] == kind), lambda x: x["line"]), "\n"))
+
+    return F.array_join(F.transform(kinds, block), "\n\n")
 
 
 def named_values(struct: str, fields: list[str], heading: str) -> Column:

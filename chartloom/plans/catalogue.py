@@ -50,8 +50,10 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "qa_pairs").where((T.strip_blank(F.col("question")) != "") & (T.strip_blank(F.col("answer")) != ""))
 
 
-def asked(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def asked(spark: SparkSession, d: str, *columns: str, prepare=None) -> DataFrame:
+    """Questions with ``columns`` of their record, after ``prepare`` has worked on the records."""
     n = notes(spark, d, *columns).select("subject_id", "hadm_id", "record_id", *columns)
+    n = prepare(n) if prepare else n
     return questions(spark, d).select("qa_id", "subject_id", "hadm_id", "question", "answer").join(n, ["subject_id", "hadm_id"]).drop("subject_id", "hadm_id")
 
 
@@ -176,8 +178,8 @@ HEAD_CASE = " ".join(f"WHEN '{t}' THEN '{h}'" for t, h in tl.EVENT_HEADERS.items
     docs AS (SELECT record_id, string_agg(b, chr(10) || chr(10) ORDER BY CASE event_type {ORDER_CASE} END) AS doc FROM blocks GROUP BY record_id)
     SELECT record_id, length(doc) AS n_chars, md5(doc) AS digest FROM docs""")
 def event_document(spark, d):
-    rows = notes(spark, d, "events").select("record_id", tl.sorted_events(F.col("events")).alias("events"))
-    return rows.select("record_id", tl.event_document(F.col("events")).alias("doc")).where("doc <> ''").select("record_id", F.char_length("doc").cast("bigint").alias("n_chars"), F.md5("doc").alias("digest"))
+    rows = notes(spark, d, "events").where("size(filter(events, e -> e IS NOT NULL)) > 0").select("record_id", tl.event_lines(tl.sorted_events(F.col("events"))).alias("lines"))
+    return rows.select("record_id", tl.event_document(F.col("lines")).alias("doc")).select("record_id", F.char_length("doc").cast("bigint").alias("n_chars"), F.md5("doc").alias("digest"))
 
 
 @query(f"WITH {EVENTS_SQL}, n AS (SELECT record_id, count(*) AS n FROM ev GROUP BY 1) SELECT record_id, pos, event_type FROM ev JOIN n USING (record_id) WHERE pos >= n - 25")
@@ -525,7 +527,7 @@ DOC_SQL = f"""blocks AS (SELECT record_id, event_type, (CASE event_type {HEAD_CA
 @query(f"""WITH {ASKED_SQL}, flat0 AS (SELECT record_id, len(events) AS n, generate_subscripts(events, 1) AS i, unnest(events) AS e FROM notes), pick AS (SELECT record_id, i, e.* FROM flat0 WHERE e IS NOT NULL AND i > n - 25), {DOC_SQL},
     full_rows AS (SELECT a.qa_id, a.record_id, a.question, concat_ws(chr(10) || chr(10), nullif(n.discharge_summary, ''), nullif(docs.doc, '')) AS full_text FROM asked a JOIN notes n USING (record_id) LEFT JOIN docs USING (record_id)) {PROMPT_SQL}""")
 def recency_prompt(spark, d):
-    return _digest(retrieve.recency(asked(spark, d, "discharge_summary", "events")))
+    return _digest(retrieve.recency(asked(spark, d, "demographics", "admission", "events", "discharge_summary", prepare=lambda n: retrieve.record_texts(n).select("subject_id", "hadm_id", "record_id", "recent_text"))))
 
 
 PART = lambda s, fs, head: f"(SELECT '{head}' || chr(10) || nullif(concat_ws(chr(10), {', '.join(f'''CASE WHEN n.{s}.{f} IS NOT NULL THEN '  {f}: ' || n.{s}.{f} END''' for f in fs)}), ''))"
@@ -537,7 +539,7 @@ ADM_F = ["subject_id", "hadm_id", "admittime", "dischtime", "deathtime", "admiss
     full_rows AS (SELECT a.qa_id, a.record_id, a.question, concat_ws(chr(10) || chr(10), {PART('demographics', DEMO_F, 'DEMOGRAPHICS:')}, {PART('admission', ADM_F, 'ADMISSION:')}, nullif(docs.doc, ''), nullif(n.discharge_summary, '')) AS full_text
         FROM asked a JOIN notes n USING (record_id) LEFT JOIN docs USING (record_id)) {PROMPT_SQL}""")
 def full_context_prompt(spark, d):
-    return _digest(retrieve.full_context(asked(spark, d, "demographics", "admission", "events", "discharge_summary")))
+    return _digest(retrieve.full_context(asked(spark, d, "demographics", "admission", "events", "discharge_summary", prepare=lambda n: retrieve.record_texts(n).select("subject_id", "hadm_id", "record_id", "full_text"))))
 
 
 @query()
