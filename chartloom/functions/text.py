@@ -72,8 +72,11 @@ def blank_tokens(c: Column) -> Column:
     return F.filter(F.split(c, BLANK + "+"), lambda t: t != "")
 
 
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip_blank(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def _shared(a: Column, b: Column) -> Column:
