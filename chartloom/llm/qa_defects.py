@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from chartloom.llm.questions import INTERROGATIVES, OPENINGS, content_tokens, plain_text
 
+BRIEF = 200  # characters of an answer that can be a placeholder
 ORDER = ["empty", "copied_question", "refusal", "truncated", "other_language"]
 
 # What stands in place of an answer.
@@ -45,6 +46,8 @@ der die das den dem des ein eine einen und oder aber weil wurde wird war ist mit
 le la les un une des du de et ou mais parce que qui dans pour avec sur était est a été
 el los las una unos y o pero porque que con por para en fue es del al se""".split()
 CLAUSES = r"\b(?:because|whereas|although|which|despite|following|after which|with subsequent|so that|in order to|as documented|where it|(?:shows|notes|states|says|found|noted) that|while the|before being|and was then|but it|in spite of|after the patient had|and the|(?:weil|parce que|porque) )\b|\band was\b"
+# Units that end an answer without a full stop.
+UNITS = "bpm mmhg mg mcg g kg ml l unit units meq mmol kpa degrees percent points breaths minute minutes hour hours day days week weeks times".split()
 # Frequent words that tell languages apart.
 LANGUAGES = {
     "en": "the of and was is it on in to for after before with that were had be by from at not this there an which who what how did been about given value note patient during only later",
@@ -74,8 +77,9 @@ def defect_rules(pairs: DataFrame) -> DataFrame:
     """``pairs`` rows with ``defects``, every triggered type in order of priority."""
     rows = pairs.withColumn("_a", plain_text(F.coalesce("answer", F.lit("")))).withColumn("_q", plain_text(F.coalesce("question", F.lit(""))))
     bare = F.regexp_replace("_a", r"(?U)[^\p{L}\p{N}]+", "")
-    core = F.regexp_replace("_a", r"^[\s\"'(*_.:-]+|[\s\"').:!*_-]+$", "")
-    empty = (bare == "") | core.rlike(rf"^{PLACEHOLDERS}$") | F.col("_a").rlike(rf"^{PLACEHOLDERS}[.:]?$")
+    brief = F.when(F.length("_a") <= BRIEF, F.col("_a")).otherwise("")
+    core = F.regexp_replace(brief, r"^[\s\"'(*_.:-]+|[\s\"').:!*_-]+$", "")
+    empty = (bare == "") | core.rlike(rf"^{PLACEHOLDERS}$") | brief.rlike(rf"^{PLACEHOLDERS}[.:]?$")
 
     rows = rows.withColumn("_qt", content_tokens(F.col("question"))).withColumn("_at", content_tokens(F.col("answer"))).withColumn("_aw", _words(F.col("_a"))).withColumn("_qw", _words(F.col("_q")))
     shared = F.size(F.array_intersect("_qt", "_at"))
@@ -85,12 +89,11 @@ def defect_rules(pairs: DataFrame) -> DataFrame:
 
     refusal = F.col("_a").rlike(f"(?U)(?:{REFUSALS})")
 
-    raw = F.regexp_replace(F.coalesce("answer", F.lit("")), r"[​-‏⁠﻿]", "")
-    end = F.regexp_replace(raw, r"(?U)[\s ]+$", "")
+    end = F.col("_a")  # blanks are single and none stands at the end, so every test here is linear in the text
     stopped = end.rlike(r"[.!?…。！？][\"'”’)\]»]*$") | end.rlike(r"[)\]]$")
     last = F.lower(F.regexp_extract(end, r"(?U)([\p{L}]+)$", 1))
     opened = F.length(F.regexp_replace(end, r"[^(\[]", "")) > F.length(F.regexp_replace(end, r"[^)\]]", ""))
-    dangling = end.rlike(r"(?U)\p{L}[^.!?]*[,;:(–—-]\s*$")
+    dangling = end.rlike(r"[,;:(–—-]$")
     number_end = F.col("_a").rlike(r"\b(?:received|between|(?:increased|rose|fell|decreased|dropped|went|changed) from|from|until) \d+[.,]?$") & ~F.col("_a").rlike(r"\bfrom [\d.,]+ .*\bto [\d.,]+[.,]?$")
     clause = F.col("_a").rlike(CLAUSES) & (F.size("_aw") >= 3)
     rows = rows.withColumn("_open", ~stopped & (F.size("_aw") > 0)).withColumn("_last", last)
@@ -109,8 +112,8 @@ def defect_rules(pairs: DataFrame) -> DataFrame:
     language = (foreign | other_script) & (F.col("_q") != "")
 
     inside = _interior_words(rows)
-    ends = rows.where("_open AND length(_last) > 1").select("_last").distinct()
-    unknown = ends.join(inside, ends["_last"] == inside["word"], "left_anti").select(F.col("_last").alias("_end"), F.lit(True).alias("_unknown"))
+    ends = rows.where((F.length("_last") > 1) & F.col("_open") & F.col("_a").rlike(r"(?U)(?:^|\s)\p{L}+\s*$")).select("_last").distinct()
+    unknown = ends.where(~F.col("_last").isin(*UNITS)).join(inside, ends["_last"] == inside["word"], "left_anti").select(F.col("_last").alias("_end"), F.lit(True).alias("_unknown"))
     rows = rows.join(unknown, (rows["_last"] == unknown["_end"]) & rows["_open"], "left")
     rules = {"empty": empty, "copied_question": copied & ~empty, "refusal": refusal & ~empty, "truncated": truncated & ~empty, "other_language": language & ~empty}
     defects = F.filter(F.array(*[F.when(F.coalesce(rules[k], F.lit(False)), F.lit(k)) for k in ORDER]), lambda x: x.isNotNull())
