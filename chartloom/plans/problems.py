@@ -44,4 +44,38 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_demographics, p1_admissions, p1_events, p2_found, p2_common_units, p4_found)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p1_found": """
+        WITH own AS (
+            SELECT 'patient_timelines' AS origin, record_id, 'demographics' AS child FROM patient_timelines
+                WHERE len(list_filter(json_extract(to_json(demographics), '$.*'), lambda v: json_type(v) <> 'NULL')) > 0
+            UNION ALL SELECT 'patient_timelines', record_id, 'admission' FROM patient_timelines
+                WHERE len(list_filter(json_extract(to_json(admission), '$.*'), lambda v: json_type(v) <> 'NULL')) > 0
+            UNION ALL SELECT 'patient_timelines', record_id, e.event_type FROM (SELECT record_id, unnest(events) AS e FROM patient_timelines) WHERE e IS NOT NULL
+        ), raw AS (SELECT raw_id, CAST(payload AS JSON) AS p FROM timeline_raw WHERE json_valid(payload)),
+        parts AS (
+            SELECT raw_id, p->'$.demographics' AS demo, p->'$.stays' AS top_stays,
+                CASE WHEN json_type(p->'$.admission') = 'VARCHAR' THEN CAST(p->>'$.admission' AS JSON) ELSE p->'$.admission' END AS adm,
+                CASE WHEN json_type(p->'$.events') = 'VARCHAR' THEN CAST(p->>'$.events' AS JSON) ELSE p->'$.events' END AS ev FROM raw
+        ), stays AS (SELECT raw_id, unnest(json_extract(coalesce(top_stays, adm->'$.stays'), '$[*]')) AS s FROM parts),
+        grouped AS (SELECT raw_id, k, json_extract(ev, '$."' || k || '"') AS v FROM (SELECT raw_id, ev, unnest(json_keys(ev)) AS k FROM parts WHERE json_type(ev) = 'OBJECT')),
+        entries AS (
+            SELECT raw_id, unnest(json_extract(ev, '$[*]')) AS e, NULL AS k FROM parts WHERE json_type(ev) = 'ARRAY'
+            UNION ALL SELECT raw_id, unnest(json_extract(s, '$.events[*]')), NULL FROM stays
+            UNION ALL SELECT raw_id, unnest(json_extract(v, '$[*]')), k FROM grouped WHERE json_type(v) = 'ARRAY'
+            UNION ALL SELECT raw_id, v, k FROM grouped WHERE json_type(v) = 'OBJECT'
+        ), other AS (
+            SELECT 'timeline_raw' AS origin, raw_id AS record_id, 'demographics' AS child FROM parts WHERE len(list_filter(json_extract(demo, '$.*'), lambda v: json_type(v) <> 'NULL')) > 0
+            UNION ALL SELECT 'timeline_raw', raw_id, 'admission' FROM parts
+                WHERE len(list_filter(json_keys(adm), lambda k: k <> 'stays' AND json_type(json_extract(adm, '$."' || k || '"')) <> 'NULL')) > 0
+            UNION ALL SELECT 'timeline_raw', raw_id, coalesce(e->>'$.event_type', k) FROM entries WHERE json_type(e) <> 'NULL'
+        )
+        SELECT origin, record_id, child, count(*) AS n_rows FROM (SELECT * FROM own UNION ALL SELECT * FROM other) WHERE child IS NOT NULL GROUP BY ALL
+    """,
+    "p1_demographics": """
+        SELECT 'patient_timelines' AS origin, record_id, d.subject_id, d.gender, d.anchor_age, d.anchor_year, d.anchor_year_group, d.dod FROM (SELECT record_id, demographics AS d FROM patient_timelines)
+            WHERE coalesce(CAST(d.subject_id AS VARCHAR), d.gender, CAST(d.anchor_age AS VARCHAR), CAST(d.anchor_year AS VARCHAR), d.anchor_year_group, CAST(d.dod AS VARCHAR)) IS NOT NULL
+        UNION ALL SELECT 'timeline_raw', raw_id, CAST(d->>'$.subject_id' AS BIGINT), d->>'$.gender', CAST(d->>'$.anchor_age' AS INTEGER), CAST(d->>'$.anchor_year' AS INTEGER), d->>'$.anchor_year_group', CAST(d->>'$.dod' AS DATE)
+            FROM (SELECT raw_id, CAST(payload AS JSON)->'$.demographics' AS d FROM timeline_raw WHERE json_valid(payload)) WHERE len(list_filter(json_extract(d, '$.*'), lambda v: json_type(v) <> 'NULL')) > 0
+    """,
+}
