@@ -67,6 +67,11 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_splits, p5_report, p6_found, p6_report, p7_found, p7_pieces, p8_ids, p9_mixture, p9_report, p10_found, p10_scores, p10_rates)}
 
 ORACLES: dict[str, str] = {
+    "p5_found": """
+        WITH RECURSIVE e AS (SELECT DISTINCT a.subject_id AS a, b.subject_id AS b FROM qa_pairs a JOIN qa_pairs b USING (hadm_id) WHERE a.subject_id <> b.subject_id),
+        r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT a AS subject_a, b AS subject_b FROM r WHERE a < b
+    """,
     "p7_found": """
         SELECT record_id, 'discharge_summary' AS oversized_field FROM patient_timelines WHERE length(discharge_summary) > 6000
         UNION
