@@ -44,7 +44,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_demographics, p1_admissions, p1_events, p2_found, p2_common_units, p4_found)}
 
+_VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" for x in r) + ")" for r in rows)
+_KEY = lambda c: f"nullif(regexp_replace(lower(translate({c}, 'µμ', 'uu')), '[\\s\\x{{A0}}.]+', '', 'g'), '')"
+_SIZES = [(k, u, x) for k, sizes in (("mass", units.MASS), ("activity", units.ACTIVITY), ("charge", units.CHARGE)) for u, x in sizes.items()]
+_NUMBER = "^\\s*([-+]?[0-9][0-9.,]*)\\s*(?:(?:-|–|to)\\s*([0-9][0-9.,]*)\\s*)?(.*?)\\s*$"
+
+P2_SQL = f"""
+    WITH conv(item, unit, factor, shift) AS (VALUES {_VALUES(units.CONVERSIONS)}), sizes(kind, unit, size) AS (VALUES {_VALUES(_SIZES)}), special(item, unit, factor) AS (VALUES {_VALUES(units.DRUG_CONVERSIONS)}),
+    spelt(spelling, unit) AS (VALUES {_VALUES([(x, u) for u, xs in units.ALIASES.items() for x in xs.split()])}),
+    scale AS (SELECT * FROM conv
+        UNION ALL SELECT lower(m.label), s.unit, s.size / c.size, 0 FROM measure_reference m JOIN sizes c ON c.unit = m.common_unit JOIN sizes s ON s.kind = c.kind WHERE m.kind = 'drug'
+        UNION ALL SELECT item, unit, factor, 0 FROM special JOIN measure_reference m ON lower(m.label) = item),
+    alias AS (SELECT DISTINCT item, spelling, unit, factor, shift FROM scale JOIN spelt USING (unit)),
+    ev AS (SELECT event_id, event_type, valuenum, trim(coalesce(CASE event_type WHEN 'medication' THEN drug ELSE label END, '')) AS name, CASE event_type WHEN 'medication' THEN dose ELSE value END AS text,
+        CASE event_type WHEN 'medication' THEN dose_unit ELSE unit END AS field FROM timeline_events WHERE event_type IN ('lab', 'vital', 'medication')),
+    item AS (SELECT ev.*, lower(m.label) AS item, m.possible_low AS lo, m.possible_high AS hi FROM ev JOIN measure_reference m ON starts_with(lower(name), lower(m.label)) AND NOT regexp_matches(substr(lower(name), length(m.label) + 1, 1), '[a-z]')),
+    num AS (SELECT *, CASE WHEN trim(text) <> '' AND regexp_matches(trim(text), '^[^0-9+-]|^[-+]?[^0-9]*$') THEN NULL WHEN event_type = 'medication' THEN try_cast(replace(regexp_extract(text, '{_NUMBER}', 1), ',', '') AS DOUBLE)
+            ELSE coalesce(valuenum, try_cast(replace(regexp_extract(text, '{_NUMBER}', 1), ',', '.') AS DOUBLE)) END AS number,
+        coalesce({_KEY('field')}, {_KEY(f"regexp_extract(text, '{_NUMBER}', 3)")}, {_KEY("regexp_extract(name, '[(]([^()]*)[)][ ]*$', 1)")}) AS spelling FROM item)
+    SELECT DISTINCT n.event_id FROM num n WHERE n.number IS NOT NULL AND (
+        EXISTS (SELECT 1 FROM alias a WHERE a.item = n.item AND a.spelling = n.spelling AND (a.factor <> 1 OR a.shift <> 0))
+        OR (n.spelling IS NULL AND n.lo IS NOT NULL AND NOT n.number BETWEEN n.lo AND n.hi AND EXISTS (SELECT 1 FROM scale s WHERE s.item = n.item AND (s.factor <> 1 OR s.shift <> 0) AND n.number * s.factor + s.shift BETWEEN n.lo AND n.hi)))
+"""
+
 ORACLES: dict[str, str] = {
+    "p2_found": P2_SQL,
     "p1_found": """
         WITH own AS (
             SELECT 'patient_timelines' AS origin, record_id, 'demographics' AS child FROM patient_timelines
