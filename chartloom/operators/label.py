@@ -21,6 +21,25 @@ def weak_label(chunk_tokens: Column, answer_tokens: Column, threshold: float = T
     return (hit if boost is None else hit | boost).cast("int")
 
 
+def shared_tokens(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qa_id, record_id, chunk_idx, shared): tokens an answer shares with each chunk of its record, with multiplicity.
+
+    Token counts of answers meet those of chunks by record and token, so pairs that share
+    nothing are never looked at.
+    """
+    a = asked.select("qa_id", "record_id", F.explode("answer_tokens").alias("term")).groupBy("qa_id", "record_id", "term").agg(F.count(F.lit(1)).alias("n_a"))
+    c = chunks.select("record_id", "chunk_idx", F.explode("chunk_tokens").alias("term")).groupBy("record_id", "chunk_idx", "term").agg(F.count(F.lit(1)).alias("n_c"))
+    return a.join(c, ["record_id", "term"]).groupBy("qa_id", "record_id", "chunk_idx").agg(F.sum(F.least("n_a", "n_c")).alias("shared"))
+
+
+def label_pairs(asked: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every question with every chunk of its own record, and its weak label by token F1."""
+    sized = asked.withColumn("_a", F.size("answer_tokens")).drop("answer_tokens")
+    pairs = sized.join(chunks.withColumn("_c", F.size("chunk_tokens")).drop("chunk_tokens"), "record_id").join(shared_tokens(asked, chunks), ["qa_id", "record_id", "chunk_idx"], "left")
+    f1 = 2.0 * F.coalesce("shared", F.lit(0)) / F.greatest(F.col("_a") + F.col("_c"), F.lit(1))
+    return pairs.withColumn("label", (f1 >= threshold).cast("int")).drop("_a", "_c", "shared")
+
+
 def entity_boost(question: Column, chunk: Column, section: Column) -> Column:
     """Whether the chunk stands in a data section and measures an entity the question names."""
     shared = F.size(F.array_intersect(entity_tokens(question), alpha_tokens(chunk))) > 0

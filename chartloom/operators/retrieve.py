@@ -56,15 +56,17 @@ def reading_order(picked: DataFrame, keys: list[str], text: str = "chunk") -> Da
 def terms_1_2(c: Column) -> Column:
     """Words of two letters or more and their neighbours in pairs."""
     words = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]{2,})"), F.lit(1))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    # The pair that lacks its second word is null and falls away.
+    pairs = F.filter(F.zip_with(words, F.slice(words, 2, 2**30), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
     return F.concat(words, pairs)
 
 
 def tfidf_vocabulary(texts: DataFrame, text: str, min_df: int = 2, size: int = 20_000) -> DataFrame:
     """(term, df, total, idf) of the most frequent terms; ties by term. Its size is bounded by ``size``."""
     n = texts.agg(F.count(F.lit(1)).alias("n"))
-    terms = texts.select(terms_1_2(F.col(text)).alias("t")).select(F.explode(F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).alias("tf")))).alias("p"))
-    counts = terms.groupBy("p.term").agg(F.count(F.lit(1)).alias("df"), F.sum("p.tf").alias("total")).where(F.col("df") >= min_df)
+    terms = texts.select(F.col(text)).withColumn("_d", F.monotonically_increasing_id()).select("_d", F.explode(terms_1_2(F.col(text))).alias("term"))
+    by_text = terms.groupBy("_d", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = by_text.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     best = counts.orderBy(F.desc("total"), "term").limit(size)
     return best.join(F.broadcast(n)).select("term", "df", "total", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from chartloom.functions import text as T
 from chartloom.operators import chunk, features, infer, label, learn, report, retrieve, score
 from chartloom.operators import timeline as tl
-from chartloom.session import table
+from chartloom.session import materialise, table
 from chartloom.sources.tables import result_key
 
 QUERIES: dict = {}
@@ -369,8 +369,8 @@ FAST_F1 = f"""tq AS (SELECT qa_id, unnest({ALNUM('answer')}) AS term FROM asked)
 
 def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every question with every chunk of its own record: a join by record, never over records."""
-    rows = asked(spark, d).withColumn("_a", T.alnum_tokens(F.col("answer"))).join(note_chunks(spark, d).withColumn("_c", T.alnum_tokens(F.col("chunk"))), "record_id")
-    return rows.withColumn("label", label.weak_label(F.col("_c"), F.col("_a"))).drop("_a", "_c")
+    chunks = materialise(note_chunks(spark, d).withColumn("chunk_tokens", T.alnum_tokens(F.col("chunk"))), "chunks")
+    return label.label_pairs(asked(spark, d).withColumn("answer_tokens", T.alnum_tokens(F.col("answer"))), chunks)
 
 
 @query(f"WITH {PAIRS_SQL}, {FAST_F1} SELECT qa_id, chunk_idx, label FROM labelled")
@@ -384,9 +384,9 @@ ENTITY_SQL = "[" + ", ".join(f"'{e}'" for e in T.ENTITIES) + "]"
 @query(f"""WITH {PAIRS_SQL}, {FAST_F1} SELECT qa_id, chunk_idx, CASE WHEN label = 1 OR (section IN ('labs', 'vitals', 'medications', 'results') AND regexp_matches(chunk, '(?i){T.MEASUREMENT}')
     AND len(list_intersect(list_intersect(regexp_extract_all(lower(question), '[a-z]+'), {ENTITY_SQL}), regexp_extract_all(lower(chunk), '[a-z]+'))) > 0) THEN 1 ELSE 0 END AS label FROM labelled""")
 def entity_boost_labels(spark, d):
-    rows = asked(spark, d).withColumn("_a", T.alnum_tokens(F.col("answer"))).join(note_chunks(spark, d).withColumn("_c", T.alnum_tokens(F.col("chunk"))), "record_id")
+    rows = labelled_pairs(spark, d)
     boost = label.entity_boost(F.col("question"), F.col("chunk"), F.col("section"))
-    return rows.select("qa_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), label.weak_label(F.col("_c"), F.col("_a"), boost=boost).alias("label"))
+    return rows.select("qa_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), ((F.col("label") == 1) | boost).cast("int").alias("label"))
 
 
 @query(f"""WITH {PAIRS_SQL}, {FAST_F1}, k AS (SELECT qa_id, chunk_idx, label, sum(label) OVER (PARTITION BY qa_id) AS pos, row_number() OVER (PARTITION BY qa_id, label ORDER BY sha256(qa_id || ':' || chunk_idx || '|42')) AS r FROM labelled)
@@ -424,7 +424,7 @@ BM25_SQL = f"""{ASKED_SQL}, {FIXED_SQL.replace(NOTES_SQL + ', ', '')},
 
 
 def bm25_rows(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.bm25(asked(spark, d).select("qa_id", "record_id", "question"), fixed_note_chunks(spark, d).select("record_id", "chunk_idx", "chunk"))
+    return retrieve.bm25(asked(spark, d).select("qa_id", "record_id", "question"), materialise(fixed_note_chunks(spark, d).select("record_id", "chunk_idx", "chunk"), "windows"))
 
 
 @query(f"WITH {BM25_SQL} SELECT qa_id, chunk_idx, round(score, 5) AS score FROM scored")
