@@ -259,9 +259,7 @@ def label_counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def passage_counts(documents: DataFrame, scorer: Scorer) -> DataFrame:
     """Occurrences of each feature in the sentences around found passages, per category, and in all texts.
 
-    Features that never stand in such a sentence cannot score and are left out in each task
-    only after all its texts are seen, so every count covers all documents of the task; a
-    second sum over tasks that saw the feature in a passage nowhere is not needed for them.
+    Each task adds its counts up first; every count covers all documents.
     """
     shared = documents.sparkSession.sparkContext.broadcast((scorer.scores, scorer.rates))
 
