@@ -61,12 +61,16 @@ def terms_1_2(c: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def tfidf_vocabulary(texts: DataFrame, text: str, min_df: int = 2, size: int = 20_000) -> DataFrame:
-    """(term, df, total, idf) of the most frequent terms; ties by term. Its size is bounded by ``size``."""
-    n = texts.agg(F.count(F.lit(1)).alias("n"))
-    terms = texts.select(F.col(text)).withColumn("_d", F.monotonically_increasing_id()).select("_d", F.explode(terms_1_2(F.col(text))).alias("term"))
-    by_text = terms.groupBy("_d", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = by_text.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+def tfidf_vocabulary(texts: DataFrame, text: str, min_df: int = 2, size: int = 20_000, times: str | None = None) -> DataFrame:
+    """(term, df, total, idf) of the most frequent terms; ties by term. Its size is bounded by ``size``.
+
+    A row counts as often as its column ``times`` says, once without it.
+    """
+    times_of = F.lit(1) if times is None else F.col(times)
+    n = texts.agg(F.sum(times_of).alias("n"))
+    terms = texts.select(F.col(text), times_of.alias("_m")).withColumn("_d", F.monotonically_increasing_id()).select("_d", "_m", F.explode(terms_1_2(F.col(text))).alias("term"))
+    by_text = terms.groupBy("_d", "_m", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = by_text.groupBy("term").agg(F.sum("_m").alias("df"), F.sum(F.col("tf") * F.col("_m")).alias("total")).where(F.col("df") >= min_df)
     best = counts.orderBy(F.desc("total"), "term").limit(size)
     return best.join(F.broadcast(n)).select("term", "df", "total", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
@@ -79,6 +83,18 @@ def tfidf_vectors(texts: DataFrame, key: list[str], text: str, vocabulary: DataF
     return raw.join(norm, key).select(*key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def pair_tfidf(questions: DataFrame, chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(qa_id, record_id, chunk_idx, tfidf_sim) of every question and chunk of its record that share a term.
+
+    ``questions`` has qa_id, record_id, question; ``chunks`` record_id, chunk_idx, chunk. The
+    vectors meet by record and term; the similarity of all other pairs is 0.
+    """
+    small = F.broadcast(vocabulary)  # bounded by the vocabulary's size
+    q = tfidf_vectors(questions, ["qa_id", "record_id"], "question", small)
+    c = tfidf_vectors(chunks, ["record_id", "chunk_idx"], "chunk", small).withColumnRenamed("weight", "other")
+    return q.join(c, ["record_id", "term"]).groupBy("qa_id", "record_id", "chunk_idx").agg(F.sum(F.col("weight") * F.col("other")).alias("tfidf_sim"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Dot product of unit vectors given as arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

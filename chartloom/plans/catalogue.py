@@ -555,9 +555,33 @@ def semantic_rag_prompt(spark, d):
 # ---- features and learning ------------------------------------------------------------------
 
 
+def sampled_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs of the train records the ranker learns from."""
+    return label.sample_negatives(rows.where("part = 'train'"), ["qa_id"], F.concat_ws(":", F.col("qa_id").cast("string"), F.col("chunk_idx").cast("string")))
+
+
+def pair_vocabulary(sampled: DataFrame, a: DataFrame, chunks: DataFrame) -> DataFrame:
+    """TF-IDF terms of the questions and chunks of ``sampled``; a text counts once for every pair it stands in."""
+    q = a.join(sampled.groupBy("qa_id").agg(F.count(F.lit(1)).alias("times")), "qa_id").select(F.col("question").alias("text"), "times")
+    c = chunks.join(sampled.groupBy("record_id", "chunk_idx").agg(F.count(F.lit(1)).alias("times")), ["record_id", "chunk_idx"]).select(F.col("chunk").alias("text"), "times")
+    return retrieve.tfidf_vocabulary(q.unionByName(c), "text", times="times")
+
+
 def feature_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = labelled_pairs(spark, d).join(notes(spark, d, "admission").select("record_id", F.date_format("admission.dischtime", "yyyy-MM-dd HH:mm:ss").alias("dischtime")), "record_id")
-    return features.pair_features(rows)
+    """Features, label and part of every pair; the TF-IDF terms are those of the pairs to learn from, the encoder is the stand-in.
+
+    Labels and similarities are found by key; the texts join last, so pairs never carry them through a shuffle.
+    """
+    encode = retrieve.hashed_vectors()
+    a = materialise(asked(spark, d).withColumn("qv", encode(F.col("question"))), "asked")
+    chunks = materialise(note_chunks(spark, d).withColumn("chunk_tokens", T.alnum_tokens(F.col("chunk"))).withColumn("cv", encode(F.col("chunk"))), "chunks")
+    pairs = label.label_pairs(a.select("qa_id", "record_id", T.alnum_tokens(F.col("answer")).alias("answer_tokens")), chunks.select("record_id", "chunk_idx", "chunk_tokens"))
+    keys = materialise(pairs.join(label.hash_split(notes(spark, d), "record_id"), "record_id"), "pairs")
+    vocabulary = materialise(pair_vocabulary(sampled_pairs(keys), a, chunks), "vocabulary")
+    keys = keys.join(retrieve.pair_tfidf(a, chunks, vocabulary), ["qa_id", "record_id", "chunk_idx"], "left").fillna(0.0, ["tfidf_sim"])
+    times = notes(spark, d, "admission").select("record_id", F.date_format("admission.dischtime", "yyyy-MM-dd HH:mm:ss").alias("dischtime"))
+    rows = keys.join(a, ["qa_id", "record_id"]).join(chunks.drop("chunk_tokens").join(times, "record_id"), ["record_id", "chunk_idx"])
+    return features.pair_features(rows.withColumn("embed_sim", retrieve.cosine(F.col("qv"), F.col("cv"))).drop("qv", "cv"))
 
 
 SEC_IDX = "list_position([" + ", ".join(f"'{s}'" for s in T.SECTIONS) + "], section) - 1"
@@ -582,9 +606,8 @@ def feature_matrix_sums(spark, d):
 @query()
 def learned_topk(spark, d):
     """Ranker trained on sampled pairs of the train records, top chunks of the validation questions."""
-    rows = feature_rows(spark, d).join(label.hash_split(notes(spark, d), "record_id"), "record_id")
-    train = label.sample_negatives(rows.where("part = 'train'"), ["qa_id"], F.concat_ws(":", F.col("qa_id").cast("string"), F.col("chunk_idx").cast("string")))
-    model = learn.fit_ranker(train)
+    rows = feature_rows(spark, d)
+    model = learn.fit_ranker(sampled_pairs(rows))
     scored = learn.apply_ranker(model, rows.where("part = 'validation'"))
     return retrieve.top_k(scored.select("qa_id", "chunk_idx", "label", F.round("score", 6).alias("score")), ["qa_id"], 5)
 

@@ -1,6 +1,7 @@
 """Edge cases of the engine's own operators with expectations worked out by hand."""
 
 import json
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -186,3 +187,28 @@ def test_catalogue_runs_on_one_and_many_partitions(spark, data):
             results.append(sorted(map(str, QUERIES[name](spark, data).collect())))
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert results[0] == results[1]
+
+
+def test_pair_tfidf_by_hand(spark):
+    texts = spark.createDataFrame([("aa bb", 1), ("aa cc", 2)], "text string, times int")
+    vocabulary = {r.term: (r.df, r.total) for r in retrieve.tfidf_vocabulary(texts, "text", times="times").collect()}
+    assert vocabulary == {"aa": (3, 3), "cc": (2, 2), "aa cc": (2, 2)}
+    terms = spark.createDataFrame([("aa", 1.0), ("cc", 2.0)], "term string, idf double")
+    q = spark.createDataFrame([(1, 7, "aa aa"), (2, 8, "aa"), (3, 7, "zz")], "qa_id int, record_id int, question string")
+    c = spark.createDataFrame([(7, 0, "aa cc"), (7, 1, "cc"), (8, 0, "aa")], "record_id int, chunk_idx int, chunk string")
+    got = {(r.qa_id, r.chunk_idx): r.tfidf_sim for r in retrieve.pair_tfidf(q, c, terms).collect()}
+    assert got == pytest.approx({(1, 0): 1 / 5**0.5, (2, 0): 1.0})
+
+
+def test_feature_rows_have_both_similarities(spark, data):
+    from chartloom.plans import catalogue
+
+    rows = catalogue.feature_rows(spark, data).select("qa_id", "chunk_idx", "question", "chunk", "tfidf_sim", "embed_sim").collect()
+    pairs = {(r.qa_id, r.chunk_idx) for r in catalogue.labelled_pairs(spark, data).select("qa_id", "chunk_idx").collect()}
+    assert len(rows) == len(pairs) and {(r.qa_id, r.chunk_idx) for r in rows} == pairs
+    assert any(r.tfidf_sim > 0 for r in rows) and all(0 <= r.tfidf_sim < 1 + 1e-9 for r in rows)
+    words = lambda t: set(re.findall("[a-z0-9]+", t.lower()))
+    shared = [r for r in rows if words(r.question) & words(r.chunk)]
+    assert shared and all(r.embed_sim > 0 for r in shared)
+    active = {r.feature for r in catalogue.feature_matrix_sums(spark, data).collect()}
+    assert {"tfidf_sim", "embed_sim"} <= active
