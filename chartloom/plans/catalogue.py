@@ -461,7 +461,9 @@ def tfidf_cosine(spark, d):
     qa = table(spark, d, "qa_pairs").where("question IS NOT NULL AND answer IS NOT NULL")
     q = retrieve.tfidf_vectors(qa, ["qa_id"], "question", vocabulary)
     a = retrieve.tfidf_vectors(qa, ["qa_id"], "answer", vocabulary).withColumnRenamed("weight", "other")
-    return q.join(a, ["qa_id", "term"]).groupBy("qa_id").agg(F.round(F.sum(F.col("weight") * F.col("other")), 5).alias("similarity"))
+    sums = q.join(a, ["qa_id", "term"]).groupBy("qa_id").agg(F.round(F.sum(F.col("weight") * F.col("other")), 5).alias("similarity"))
+    # Rows that share no term have similarity 0; the SQL's inner join leaves them out.
+    return qa.select("qa_id").join(sums, "qa_id", "left").fillna(0.0, ["similarity"])
 
 
 COSINE_SQL = """sims AS (SELECT q.vec_id AS query_id, q.label AS query_label, i.vec_id AS item_id, i.label AS item_label, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0 AND i.vec_id <> q.vec_id)"""

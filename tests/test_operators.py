@@ -212,3 +212,14 @@ def test_feature_rows_have_both_similarities(spark, data):
     assert shared and all(r.embed_sim > 0 for r in shared)
     active = {r.feature for r in catalogue.feature_matrix_sums(spark, data).collect()}
     assert {"tfidf_sim", "embed_sim"} <= active
+
+
+def test_tfidf_cosine_has_every_pair(spark, data):
+    from chartloom.plans.catalogue import QUERIES
+
+    qa = spark.read.parquet(f"{data}/qa_pairs.parquet").where("question IS NOT NULL AND answer IS NOT NULL")
+    got = {r.qa_id: r.similarity for r in QUERIES["tfidf_cosine"](spark, data).collect()}
+    assert set(got) == {r.qa_id for r in qa.select("qa_id").collect()}
+    words = lambda t: set(re.findall("[a-z0-9_]{2,}", t.lower()))
+    apart = [r.qa_id for r in qa.collect() if not words(r.question) & words(r.answer)]
+    assert apart and all(got[i] == 0.0 for i in apart)
