@@ -1,7 +1,8 @@
 """Unusable answers: ordered rules over each question and answer, every triggered type emitted.
 
 The rules are JVM expressions. Only the test for an answer cut within a word needs more than
-its row: its last word is looked up among all words that stand inside any question or answer.
+its row: the texts its last word ends openly are weighed against those it stands whole in.
+The measures are shares, so that a verdict does not depend on the size of the table.
 
 Types in order of priority: empty, copied_question, refusal, truncated, other_language.
 
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from chartloom.llm.questions import INTERROGATIVES, OPENINGS, content_tokens, plain_text
 
 BRIEF = 200  # characters of an answer that can be a placeholder
+WHOLE = 0.1  # share of a word's texts it may stand whole in and still be taken for a fragment
+PREFIX = 0.5  # the same for the beginning of words that stand whole in more texts than it ends
+RECURRING = (5, 0.005)  # texts, and share of all texts, from which on an open ending is a habit, not a cut
+LONGEST = 40  # letters of a fragment that is looked for at the beginning of longer words
 ORDER = ["empty", "copied_question", "refusal", "truncated", "other_language"]
 
 # What stands in place of an answer.
@@ -111,19 +116,30 @@ def defect_rules(pairs: DataFrame) -> DataFrame:
         other_script = other_script | ((_share(F.col("_a"), script) > 0.5) & (_share(F.col("_q"), script) < 0.1))
     language = (foreign | other_script) & (F.col("_q") != "")
 
-    inside = _interior_words(rows)
-    ends = rows.where((F.length("_last") > 1) & F.col("_open") & F.col("_a").rlike(r"(?U)(?:^|\s)\p{L}+\s*$")).select("_last").distinct()
-    unknown = ends.where(~F.col("_last").isin(*UNITS)).join(inside, ends["_last"] == inside["word"], "left_anti").select(F.col("_last").alias("_end"), F.lit(True).alias("_unknown"))
+    unknown = _cut_words(rows).select(F.col("word").alias("_end"), F.lit(True).alias("_unknown"))
     rows = rows.join(unknown, (rows["_last"] == unknown["_end"]) & rows["_open"], "left")
     rules = {"empty": empty, "copied_question": copied & ~empty, "refusal": refusal & ~empty, "truncated": truncated & ~empty, "other_language": language & ~empty}
     defects = F.filter(F.array(*[F.when(F.coalesce(rules[k], F.lit(False)), F.lit(k)) for k in ORDER]), lambda x: x.isNotNull())
     return rows.withColumn("defects", defects).select(*pairs.columns, "defects")
 
 
-def _interior_words(rows: DataFrame) -> DataFrame:
-    """Distinct words that stand before the last word of an answer, or anywhere in a question."""
-    inner = F.explode(F.array_distinct(F.concat("_qw", F.expr("slice(_aw, 1, greatest(size(_aw) - 1, 0))")))).alias("word")
-    return rows.select(inner).where("length(word) > 1").distinct()
+def _cut_words(rows: DataFrame) -> DataFrame:
+    """(word) that end open answers and are fragments.
+
+    A word stands whole before the last word of an answer, at the end of a closed answer or
+    anywhere in a question.
+    """
+    ends = rows.where((F.length("_last") > 1) & F.col("_open") & F.col("_a").rlike(r"(?U)(?:^|\s)\p{L}+\s*$") & ~F.col("_last").isin(*UNITS))
+    ends = ends.groupBy(F.col("_last").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    inner = F.expr("CASE WHEN _open THEN slice(_aw, 1, greatest(size(_aw) - 1, 0)) ELSE _aw END")
+    whole = rows.select(F.explode(F.array_distinct(F.concat("_qw", inner))).alias("word")).where("length(word) > 1").groupBy("word").agg(F.count(F.lit(1)).alias("whole"))
+    begins = F.explode(F.transform(F.sequence(F.lit(2), F.least(F.length("word") - 1, F.lit(LONGEST))), lambda k: F.substring(F.col("word"), F.lit(1), k)))
+    longer = whole.where("length(word) > 2").select(begins.alias("word"), "whole").groupBy("word").agg(F.sum("whole").alias("longer"))
+    counts = ends.join(whole, "word", "left").join(longer, "word", "left").fillna(0, ["whole", "longer"]).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("all"))))
+    texts, habit = F.col("n") + F.col("whole"), (F.col("n") >= RECURRING[0]) & (F.col("n") >= RECURRING[1] * F.col("all"))
+    rare = (F.col("whole") <= WHOLE * texts) & ~habit
+    begun = (F.col("whole") <= PREFIX * texts) & (F.col("longer") > F.col("n"))
+    return counts.where(rare | begun).select("word")
 
 
 def unusable_answers(pairs: DataFrame) -> DataFrame:

@@ -36,6 +36,20 @@ def test_answer_defects(spark):
     assert [r.defect for r in qa_defects.unusable_answers(long).collect()] == ["truncated"]
 
 
+def test_cut_words_do_not_depend_on_size(spark):
+    def flagged(rows):
+        return {r.qa_id for r in qa_defects.unusable_answers(qa_rows(spark, [{"question": ASK} | r for r in rows])).collect()}
+
+    cut, full = {"answer": "Heart rate 90 bpm, seen by the consul"}, {"answer": "Heart rate 90 bpm, drawn along a full panel"}
+    plain = [{"answer": f"It was {i} bpm after the consultant came."} for i in range(30)]
+    once = [{"answer": "The consul came at noon."}]
+    for times in (1, 10):
+        rows = [*[cut] * times, *plain * times]
+        assert flagged(rows) == flagged([*rows, *once]) == set(range(times))
+        assert not flagged([*[full] * 8 * times, *plain * times])
+        assert not flagged([*[full] * 8 * times, {"answer": "A full panel was drawn."}, *plain * times])
+
+
 # ---- splits --------------------------------------------------------------------------------
 
 
