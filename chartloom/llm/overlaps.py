@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from chartloom.llm.questions import TURNS, content_tokens, number_key, word_tokens
 
-COVERAGE = 0.4  # of an evaluation passage's units, before the exact comparison
 SHARD = 20_000  # evaluation passages of one subject and number key in a shard
 EDITS = 2  # slips of typing over both questions
 
@@ -119,9 +118,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         covered[i] = covered.get(i, 0) + 1
                         upto[i] = end
             words = form.split(" ")
-            for i, n in covered.items():
+            for i, n in covered.items():  # every unit not covered costs the exact comparison a slip
                 s, k, other, size, eval_words = passages[i]
-                if n >= COVERAGE * size and (form == other or same_question(eval_words, words)):
+                if n >= size - EDITS and (form == other or same_question(eval_words, words)):
                     out.append((s, k, other, form, n / size))
         if out:
             yield pa.RecordBatch.from_pydict(dict(zip(_ARROW.names, map(list, zip(*out)))), schema=_ARROW)

@@ -115,6 +115,13 @@ def test_overlaps(spark):
     assert report == {"test": (11, 4, 8)}
 
 
+def test_coverage_rejects_nothing_the_comparison_accepts(spark):
+    assert overlaps.same_question(["glucose", "valu"], ["glucse"])
+    for one, other in (("train", "test"), ("test", "train")):
+        rows = [{"subject_id": 1, "question": "glucse", "split": one}, {"subject_id": 1, "question": "glucose valu", "split": other}]
+        assert [(r.qa_a, r.qa_b) for r in overlaps.overlapping_pairs(qa_rows(spark, rows)).collect()] == [(0, 1)]
+
+
 def test_overlap_shards_lose_nothing(spark, monkeypatch):
     rows = [{"subject_id": 1, "question": f"What caused the {w} drop?", "split": s} for w in ("alpha", "bravo", "charlie", "delta", "echoes") for s in ("train", "test")]
     whole = overlaps.overlapping_pairs(qa_rows(spark, rows)).count()
