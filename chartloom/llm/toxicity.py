@@ -189,12 +189,8 @@ class Scorer:
                 worth = self.rates[c] * s - math.log(K)
                 if worth >= THRESHOLD:
                     found.append((c, worth, s, start, stop))
-        found.sort(key=lambda x: -x[2])
-        kept: list[tuple[int, float, float, int, int]] = []
-        for x in found:
-            if not any(x[3] < y[4] and y[3] < x[4] for y in kept):
-                kept.append(x)
-        return kept
+        # Passages of one category never overlap; those of different categories may, each is significant by itself.
+        return sorted(found, key=lambda x: -x[2])
 
 
 def maximal_segments(items: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:

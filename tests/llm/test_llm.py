@@ -271,6 +271,11 @@ def test_disguises():
     assert words("b@$t@rd") == ["bastard"] and words("1d10t") == ["idiot"] and words("m o r o n") == ["moron"] and words("p.i.g") == ["pig"] and words("f**k you 12.5 mg") == ["f**k", "you", "#", ".", "#", "mg"]
 
 
+def test_a_passage_may_have_two_categories():
+    strong = toxicity.Scorer({"vermin": (90.0, 80.0, -5.0)}, (1.0, 1.0, 1.0))
+    assert {x[0] for x in strong.segments(["vermin"])} == {0, 1}
+
+
 def test_toxic_documents(spark):
     calm = ["The patient walked today. No fever overnight.", "Genital exam deferred; breast exam without masses.", "Was rude this morning but apologised.", "She worries that immigrants like herself wait longer."]
     bad = [("You stupid asshole, go to hell.", "abusive"), ("What kind of useless b1tch runs this place?", "abusive"), ("People like that are vermin and parasites.", "hateful"), ("I want you naked in my bed tonight, I love your tits.", "sexual"), ("Shut up, you m o r o n.", "abusive")]
