@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from chartloom.llm.questions import INTERROGATIVES, OPENINGS, content_tokens, plain_text
 
-BRIEF = 200  # characters of an answer that can be a placeholder
+BRIEF = 200  # characters of an answer that can be a fixed placeholder
 WHOLE = 0.1  # share of a word's texts it may stand whole in and still be taken for a fragment
 PREFIX = 0.5  # the same for the beginning of words that stand whole in more texts than it ends
 RECURRING = (5, 0.005)  # texts, and share of all texts, from which on an open ending is a habit, not a cut
@@ -28,6 +28,8 @@ ORDER = ["empty", "copied_question", "refusal", "truncated", "other_language"]
 
 # What stands in place of an answer.
 PLACEHOLDERS = r"(?:n/?a|n\.a\.?|none|null|nil|nan|undefined|tbd|t\.b\.d\.|todo|to do|pending|placeholder|answer|no answer|not available|not applicable|missing|empty|blank|unknown|xxx+|lorem ipsum.*|insert answer.*|your answer.*|answer here|see above|<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\})"
+# The ones among them that have no length of their own; every part is linear in the text.
+OPEN_PLACEHOLDERS = r"(?:(?:lorem ipsum|insert answer|your answer).*|(?:<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\})[\s\"').:!*_-]*+)"
 # Refusals for reasons of policy, privacy or ability, by language.
 REFUSALS = "|".join(
     [
@@ -84,7 +86,8 @@ def defect_rules(pairs: DataFrame) -> DataFrame:
     bare = F.regexp_replace("_a", r"(?U)[^\p{L}\p{N}]+", "")
     brief = F.when(F.length("_a") <= BRIEF, F.col("_a")).otherwise("")
     core = F.regexp_replace(brief, r"^[\s\"'(*_.:-]+|[\s\"').:!*_-]+$", "")
-    empty = (bare == "") | core.rlike(rf"^{PLACEHOLDERS}$") | brief.rlike(rf"^{PLACEHOLDERS}[.:]?$")
+    long = F.col("_a").rlike(rf"^[\s\"'(*_.:-]*+{OPEN_PLACEHOLDERS}$")
+    empty = (bare == "") | long | core.rlike(rf"^{PLACEHOLDERS}$") | brief.rlike(rf"^{PLACEHOLDERS}[.:]?$")
 
     rows = rows.withColumn("_qt", content_tokens(F.col("question"))).withColumn("_at", content_tokens(F.col("answer"))).withColumn("_aw", _words(F.col("_a"))).withColumn("_qw", _words(F.col("_q")))
     shared = F.size(F.array_intersect("_qt", "_at"))

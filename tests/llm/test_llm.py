@@ -36,6 +36,14 @@ def test_answer_defects(spark):
     assert [r.defect for r in qa_defects.unusable_answers(long).collect()] == ["truncated"]
 
 
+def test_long_placeholders_are_empty(spark):
+    texts = ["Lorem ipsum dolor sit amet. " * 20, "*Insert answer " + "here, please " * 30, "[" + "answer to be written " * 20 + "]", "(<" + "x " * 200 + ">)."]
+    whole = ["The note says lorem ipsum " + "and more of it " * 30 + ".", "[1] The rate was 90 bpm " + "at noon " * 40 + "."]
+    rows = qa_rows(spark, [{"question": ASK, "answer": t} for t in [*texts, *whole]])
+    assert [r.defect for r in qa_defects.unusable_answers(rows.where("qa_id < 4")).collect()] == ["empty"] * 4
+    assert not [r for r in qa_defects.unusable_answers(rows).collect() if r.qa_id >= 4 and r.defect == "empty"]
+
+
 def test_cut_words_do_not_depend_on_size(spark):
     def flagged(rows):
         return {r.qa_id for r in qa_defects.unusable_answers(qa_rows(spark, [{"question": ASK} | r for r in rows])).collect()}
