@@ -101,6 +101,13 @@ def token_budget(lines: DataFrame, keys: list[str], order: list[str], tokens: st
     return rows.withColumn("cut_lines", F.sum(1 - kept).over(whole)).where(kept == 1)
 
 
+def budget_counts(lines: DataFrame, keys: list[str], order: list[str], tokens: str, budget: int, base: int = 0) -> DataFrame:
+    """(key, kept, cut): lines within and beyond the budget of every key, also of one that keeps none."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    fits = (F.lit(base) + F.sum(tokens).over(w) <= budget).cast("int")
+    return lines.withColumn("_fits", fits).groupBy(*keys).agg(F.sum("_fits").alias("kept"), F.sum(1 - F.col("_fits")).alias("cut"))
+
+
 def assemble(driver: DataFrame, patients: DataFrame, admissions: DataFrame, notes: DataFrame, events: DataFrame) -> DataFrame:
     """One nested record per driver row (subject_id, hadm_id, note_id): latest patient, admission and note, events sorted.
 

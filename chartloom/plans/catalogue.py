@@ -195,8 +195,7 @@ def recency_last_n(spark, d):
     SELECT record_id, count(*) FILTER (running <= 400) AS kept, count(*) FILTER (running > 400) AS cut FROM r GROUP BY 1 HAVING kept > 0""")
 def running_token_budget(spark, d):
     rows = sorted_rows(spark, d).where("event_type <> 'diagnosis'").withColumn("n", F.size(T.blank_tokens(tl.event_line(F.col("event_type"), F.col))))
-    kept = tl.token_budget(rows.select("record_id", "pos", "n"), ["record_id"], ["pos"], "n", 400, 50)
-    return kept.groupBy("record_id").agg(F.count(F.lit(1)).alias("kept"), F.max("cut_lines").alias("cut"))
+    return tl.budget_counts(rows.select("record_id", "pos", "n"), ["record_id"], ["pos"], "n", 400, 50)
 
 
 @query("SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.ref') AS ref FROM events")

@@ -85,6 +85,11 @@ def test_token_budget(spark):
     assert [(r.i, r.cut_lines) for r in tl.token_budget(lines, ["k"], ["i"], "n", 10_000, 9_995).collect()] == [(0, 1)]
 
 
+def test_budget_counts_name_every_key(spark):
+    lines = spark.createDataFrame([(1, 0, 3), (1, 1, 3), (2, 0, 9)], "k int, i int, n int")
+    assert {tuple(r) for r in tl.budget_counts(lines, ["k"], ["i"], "n", 10_000, 9_995).collect()} == {(1, 1, 1), (2, 0, 1)}
+
+
 def test_negative_sampling(spark):
     rows = [(q, i, int(i < pos)) for q, pos, neg in ((1, 2, 7), (2, 1, 9), (3, 0, 4)) for i in range(pos + neg)]
     df = spark.createDataFrame(rows, "qa_id int, chunk_idx int, label int")
