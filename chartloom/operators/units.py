@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.session import broadcast_checked
+
 # Spellings of units after lower-casing and dropping blanks and dots.
 ALIASES = {
     "bpm": "bpm beats/min /min beatsperminute",
@@ -77,6 +79,7 @@ CHARGE = {"mEq": 1.0, "mmol": 1.0}
 DRUG_CONVERSIONS = [("cholecalciferol", "mcg", 40.0), ("cholecalciferol", "mg", 40000.0), ("magnesium sulfate", "mEq", 0.1232), ("potassium chloride", "mg", 1.0 / 74.55), ("potassium chloride", "g", 1000.0 / 74.55)]
 
 REFERENCE_BOUND = 1000  # rows of the measure reference that may be turned into literals
+HABIT_BOUND = 200_000  # pairs of item and source up to which their usual units are broadcast
 _NUMBER = r"^\s*([-+]?\d[\d.,]*)\s*(?:(?:-|–|to)\s*(\d[\d.,]*)\s*)?(.*?)\s*$"
 
 
@@ -126,8 +129,10 @@ def alias_rows(conversions: list[tuple]) -> list[tuple]:
 
 def unit_key(c: Column) -> Column:
     """Lower case without blanks and dots, micro signs as u; null if nothing is left."""
-    c = F.regexp_replace(F.lower(F.translate(c, "µμ", "uu")), r"[\s. ]+", "")
-    return F.when(c != "", c)
+    low = F.lower(c)
+    for old, kept in ((" ", ""), (".", ""), ("\u00a0", ""), ("\u00b5", "u"), ("\u03bc", "u")):
+        low = F.replace(low, F.lit(old), F.lit(kept))
+    return F.nullif(F.when(low.rlike(r"\s"), F.regexp_replace(low, r"\s+", "")).otherwise(low), F.lit(""))
 
 
 def _decimal(c: Column, thousands: bool) -> Column:
@@ -136,6 +141,43 @@ def _decimal(c: Column, thousands: bool) -> Column:
     return (grouped if thousands else plain).try_cast("double")
 
 
+def item_of(name: Column, names: list[str]) -> Column:
+    """The reference label a name is or begins with: looked up as it stands, then before a bracket, then by pattern."""
+    key = F.lower(F.trim(name))
+    known = F.create_map(*[F.lit(x) for n in names for x in (n, n)]) if names else F.create_map().cast("map<string,string>")
+    quoted = "|".join("".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in n) for n in names)
+    return F.coalesce(
+        F.try_element_at(known, key),
+        F.try_element_at(known, F.substring_index(key, " (", 1)),
+        F.nullif(F.regexp_extract(key, rf"^({quoted})(?![a-z])", 1), F.lit("")),
+    )
+
+
+def parsed_quantities(events: DataFrame, names: list[str]) -> DataFrame:
+    """Lab, vital and medication events with item, number, decimals and spelled unit.
+
+    Plain digits, which most values are, never meet a regular expression.
+    """
+    dose = F.col("event_type") == "medication"
+    name, text, field = (F.when(dose, F.col(a)).otherwise(F.col(b)) for a, b in (("drug", "label"), ("dose", "value"), ("dose_unit", "unit")))
+    rows = events.where(F.col("event_type").isin("lab", "vital", "medication")).withColumns({"_name": name, "_raw": text})
+    digits = (F.translate("_raw", "0123456789.", "") == "") & F.substring("_raw", 1, 1).between("0", "9")
+    rows = rows.withColumn("_plain", F.coalesce(digits, F.lit(False)))
+    first, second, rest = (F.regexp_extract("_raw", _NUMBER, i) for i in (1, 2, 3))
+    low, high = (F.when(dose, _decimal(c, True)).otherwise(_decimal(c, False)) for c in (first, second))
+    in_text = F.when(dose, F.coalesce((low + high) / 2, low)).otherwise(low)
+    trimmed = F.trim("_raw")
+    worded = F.coalesce((trimmed != "") & trimmed.rlike(r"^[^\d+-]|^[-+]?\D*$"), F.lit(False))
+    number = F.when(F.col("_plain"), F.when(dose, F.col("_raw").try_cast("double")).otherwise(F.coalesce(F.col("valuenum"), F.col("_raw").try_cast("double"))))
+    number = number.when(worded, None).when(dose, in_text).otherwise(F.coalesce(F.col("valuenum"), in_text))
+    point = F.instr("_raw", ".")
+    decimals = F.when(F.col("_plain"), F.when(point > 0, F.length("_raw") - point).otherwise(0)).otherwise(F.length(F.regexp_extract(first, r"[.,](\d+)$", 1)))
+    bracket = F.when(F.contains("_name", F.lit("(")), F.regexp_extract("_name", r"\(([^()]*)\)\s*$", 1))
+    rows = rows.withColumns({"q_item": item_of(F.col("_name"), names), "_number": number, "_digits": decimals, "_field": unit_key(field), "_text": unit_key(F.when(~F.col("_plain"), rest)), "_label": unit_key(bracket)})
+    source = F.when(F.col("_field").isNotNull(), "field").when(F.col("_text").isNotNull(), "text").when(F.col("_label").isNotNull(), "label").otherwise("scale")
+    return rows.withColumns({"_spelt": F.coalesce("_field", "_text", "_label"), "_from": source}).drop("_name", "_raw", "_plain", "_field", "_text", "_label")
+
+
 def normalise_quantities(events: DataFrame, reference: DataFrame) -> DataFrame:
     """Lab, vital and medication events with, besides their own columns,
 
@@ -147,62 +189,52 @@ def normalise_quantities(events: DataFrame, reference: DataFrame) -> DataFrame:
     ref = reference_rows(reference)
     conversions = conversion_rows(ref)
     names = sorted({r.label.lower() for r in ref}, key=lambda x: (-len(x), x))
-    quoted = "|".join("".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in n) for n in names)
-    dose = F.col("event_type") == "medication"
-    name, text, field = (F.when(dose, F.col(a)).otherwise(F.col(b)) for a, b in (("drug", "label"), ("dose", "value"), ("dose_unit", "unit")))
-    first = F.regexp_extract(text, _NUMBER, 1)
-    second = F.regexp_extract(text, _NUMBER, 2)
-    rest = F.regexp_extract(text, _NUMBER, 3)
-    low, high = (F.when(dose, _decimal(c, True)).otherwise(_decimal(c, False)) for c in (first, second))
-    in_text = F.when(high.isNotNull() & dose, (low + high) / 2).otherwise(low)
-    worded = F.coalesce(F.trim(text), F.lit("")).rlike(r"^[^\d+-]|^[-+]?\D*$") & (F.coalesce(F.trim(text), F.lit("")) != "")
-    rows = (
-        events.where(F.col("event_type").isin("lab", "vital", "medication"))
-        .withColumn("q_item", F.nullif(F.regexp_extract(F.lower(F.trim(name)), rf"^({quoted})(?![a-z])", 1), F.lit("")))
-        .withColumn("_number", F.when(worded, None).when(dose, in_text).otherwise(F.coalesce(F.col("valuenum"), in_text)))
-        .withColumn("_digits", F.length(F.regexp_extract(first, r"[.,](\d+)$", 1)))
-        .withColumn("_field", unit_key(field))
-        .withColumn("_text", unit_key(rest))
-        .withColumn("_label", unit_key(F.regexp_extract(name, r"\(([^()]*)\)\s*$", 1)))
-        .withColumn("_spelt", F.coalesce("_field", "_text", "_label"))
-        .withColumn("_from", F.when(F.col("_field").isNotNull(), "field").when(F.col("_text").isNotNull(), "text").when(F.col("_label").isNotNull(), "label").otherwise("scale"))
-    )
+    rows = parsed_quantities(events, names)
+    # One row per item, with the other scales for numbers that come without a unit.
     items = _literal_rows(spark, [(r.label.lower(), r.common_unit, r.possible_low, r.possible_high) for r in ref], "q_item, q_common_unit, q_low, q_high")
-    items = items.select("q_item", "q_common_unit", F.col("q_low").cast("double"), F.col("q_high").cast("double"))
-    aliases = _literal_rows(spark, alias_rows(conversions), "q_item, _spelt, _unit")
-    # The other scales of each item, for numbers without a unit.
     scales = _literal_rows(spark, conversions, "q_item, _unit, _factor, _offset")
-    by_item = scales.groupBy("q_item").agg(F.sort_array(F.collect_list(F.struct("_unit", "_factor", "_offset"))).alias("_scales"))
-    joined = rows.join(F.broadcast(items), "q_item", "left").join(F.broadcast(aliases), ["q_item", "_spelt"], "left").join(F.broadcast(by_item), "q_item", "left")
-    fits = F.col("_number").isNotNull() & F.col("_spelt").isNull() & F.col("q_low").isNotNull() & ~F.col("_number").between(F.col("q_low"), F.col("q_high"))
-    joined = joined.withColumn(
-        "_guess",
-        F.when(fits, F.expr("filter(_scales, s -> (s._factor <> 1 OR s._offset <> 0) AND _number * s._factor + s._offset BETWEEN q_low AND q_high)")),
+    other_scales = scales.where("_factor <> 1 OR _offset <> 0").groupBy("q_item").agg(F.sort_array(F.collect_list(F.struct("_unit", "_factor", "_offset"))).alias("_scales"))
+    items = items.select("q_item", "q_common_unit", F.col("q_low").cast("double"), F.col("q_high").cast("double")).join(other_scales, "q_item", "left")
+    aliases = _literal_rows(spark, alias_rows(conversions), "q_item, _spelt, _unit").join(scales, ["q_item", "_unit"])
+    joined = rows.join(F.broadcast(items), "q_item", "left").join(F.broadcast(aliases), ["q_item", "_spelt"], "left")
+    scaled = F.col("_number").isNotNull() & F.col("_spelt").isNull() & F.col("q_low").isNotNull() & ~F.col("_number").between(F.col("q_low"), F.col("q_high"))
+    joined = joined.withColumn("_guess", F.when(scaled, F.expr("filter(_scales, s -> _number * s._factor + s._offset BETWEEN q_low AND q_high)")))
+    ranged = {r.label.lower() for r in ref if r.possible_low is not None}
+    unclear = sorted(i for i in ranged if sum(c[0] == i and (c[2] != 1 or c[3] != 0) for c in conversions) > 1)
+    if unclear:  # only these items can fit on more than one scale, so only their rows are counted
+        begins = F.greatest(*[F.startswith(F.lower(F.trim("label")), F.lit(i)) for i in [*unclear, unclear[0]]])
+        habit = source_units(parsed_quantities(events.where(F.col("event_type").isin("lab", "vital") & begins), names).where(F.col("q_item").isin(*unclear)), aliases)
+        joined = joined.join(broadcast_checked(habit, "unit-habits", HABIT_BOUND), ["q_item", "source"], "left")
+    else:
+        joined = joined.withColumn("_habit", F.lit(None).cast("string"))
+    joined = joined.withColumn("_pick", F.expr("CASE WHEN size(_guess) > 1 THEN coalesce(get(filter(_guess, s -> s._unit = _habit), 0), get(_guess, 0)) WHEN size(_guess) = 1 THEN get(_guess, 0) END"))
+    bare = F.col("_spelt").isNull()
+    joined = joined.withColumns(
+        {
+            "q_unit": F.when(bare, F.coalesce("_pick._unit", "q_common_unit")).otherwise(F.col("_unit")),
+            "_by": F.when(bare, F.coalesce("_pick._factor", F.when(F.col("q_common_unit").isNotNull(), 1.0))).otherwise(F.col("_factor")),
+            "_plus": F.when(bare, F.coalesce("_pick._offset", F.lit(0.0))).otherwise(F.col("_offset")),
+        }
     )
-    habit = source_units(rows, aliases)
-    joined = joined.join(habit, ["q_item", "source"], "left").withColumn("_pick", F.expr("CASE WHEN size(_guess) > 1 THEN coalesce(get(filter(_guess, s -> s._unit = _habit), 0), get(_guess, 0)) WHEN size(_guess) = 1 THEN get(_guess, 0) END"))
-    unit = F.when(F.col("_spelt").isNull(), F.coalesce("_pick._unit", "q_common_unit")).otherwise(F.col("_unit"))
-    joined = joined.withColumn("q_unit", unit).withColumn("_scale", F.expr("get(filter(_scales, s -> s._unit = q_unit), 0)"))
-    value = F.col("_number") * F.col("_scale._factor") + F.col("_scale._offset")
-    other = (F.col("_scale._factor") != 1) | (F.col("_scale._offset") != 0)
+    other = (F.col("_by") != 1) | (F.col("_plus") != 0)
     return joined.select(
         *events.columns,
         "q_item",
         F.col("_number").alias("q_number"),
         "q_unit",
         F.col("_from").alias("q_unit_from"),
-        F.when(F.col("_scale._factor") == 1, F.col("_number") + F.col("_scale._offset")).otherwise(value).alias("q_value"),
+        (F.col("_number") * F.col("_by") + F.col("_plus")).alias("q_value"),
         F.coalesce(F.col("_number").isNotNull() & other, F.lit(False)).alias("q_converted"),
         "q_common_unit",
         "q_low",
         "q_high",
-        F.when(other, F.abs(F.col("_scale._factor")) * F.pow(F.lit(10.0), -F.coalesce("_digits", F.lit(0))) * 0.51).otherwise(0.0).alias("q_slack"),
+        F.when(other, F.abs(F.col("_by")) * F.pow(F.lit(10.0), -F.coalesce("_digits", F.lit(0))) * 0.51).otherwise(0.0).alias("q_slack"),
     )
 
 
 def source_units(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """The unit each source reports most often for an item: few rows, pre-aggregated on the map side."""
-    counted = rows.where("_spelt IS NOT NULL AND event_type <> 'medication'").join(F.broadcast(aliases), ["q_item", "_spelt"]).groupBy("q_item", "source", F.col("_unit").alias("_habit")).count()
+    counted = rows.where("_spelt IS NOT NULL").join(F.broadcast(aliases.select("q_item", "_spelt", "_unit")), ["q_item", "_spelt"]).groupBy("q_item", "source", F.col("_unit").alias("_habit")).count()
     return counted.groupBy("q_item", "source").agg(F.max_by("_habit", F.struct("count", "_habit")).alias("_habit"))
 
 

@@ -1,12 +1,19 @@
-"""Session factory and shared-folder materialisation."""
+"""Session factory, shared-folder materialisation and size-checked broadcasts."""
 
 from __future__ import annotations
 
 import atexit
+import logging
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LOG = logging.getLogger("chartloom")
 
 
 def build_session(app: str = "chartloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,10 +33,38 @@ def build_session(app: str = "chartloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, so that they need no installation of it.
+
+    The driver packs it and the application's own file server hands it to executors, late
+    ones included.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="chartloom-package-")  # the driver's own: executors fetch the file from it
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "chartloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    z.write(os.path.join(at, name), os.path.join("chartloom", os.path.relpath(os.path.join(at, name), root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one on a local master, else an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="chartloom-")
         spark.conf.set("spark.checkpoint.dir", configured)
         spark.sparkContext.setCheckpointDir(configured)
@@ -41,22 +76,38 @@ def _delete(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already
-        pass
+    except Exception as e:  # the session may be gone already
+        LOG.warning("could not remove %s: %s", path, e)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, cutting its lineage.
 
-    Unlike a cache this survives the loss of executors; the files are removed when the
-    process ends.
+    Unlike a cache this survives the loss of executors. ``release`` removes the files when
+    the table is no longer read; what is left goes when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chartloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a materialised table that nothing reads any more."""
+    path = getattr(df, "_written", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def broadcast_checked(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """``df``, written once, to be broadcast if it has at most ``rows`` rows; beyond that the join is left to shuffle."""
+    written = materialise(df, name)
+    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
