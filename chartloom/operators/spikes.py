@@ -2,14 +2,16 @@
 
 Spikes come out of robust principal components: every source gets a matrix whose rows are
 stay-days and whose columns are (item, four-hour slot) cells of standardised readings. The
-matrix is split into a low-rank part (what the source normally reports over a day) and a
-sparse part. A reading that the low-rank part leaves by more than ``SPARSE`` spreads belongs
-to the sparse part; an exact test on the sequence of readings then keeps those more than
-``FAR`` spreads from the source's level, alone or in a pair, with readings on both sides.
+matrix is split into a low-rank part - what the source normally reports over such a day -
+and a sparse part. A reading is far if it leaves the low-rank part by more than ``FAR``
+spreads of its source; an exact check then keeps far readings that stand alone or in a
+pair, with readings on both sides. Constant runs and ranges are tested apart from that.
 
-The passes over the matrix run where its rows are; only one Gram matrix per source (at most
-19 items x 6 slots squared) and task comes together. Constant runs and ranges are tested
-apart from it with window functions.
+The readings are shuffled once, by stay and source: neighbours in the sequence of an item,
+runs and stay-days all lie within that key, and readings without stay or time are spread by
+a hash of their id. Passes over the matrices run where the rows are; Gram matrices are added
+up per task, then per group of tasks, then per source, and only bases and levels (about
+3 KB a source) reach the driver, sources being taken in blocks of ``SOURCES``.
 
 Defined results for odd input: a reading without a number is no case; without stay or time it
 can only be impossible; a repeated delivery shares the fault of the first and doesn't
@@ -23,78 +25,143 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chartloom.operators.units import normalise_quantities, reference_rows
-from chartloom.session import materialise
+from chartloom.session import materialise, release
 
-FAR = 9.0  # spreads a spike lies away from the level of its source
-SPARSE = 6.0  # spreads from the low-rank part that make a cell entry sparse
+FAR = 9.0  # spreads a spike lies away from what its source normally reports
+SPARSE = 6.0  # spreads at which entries are clipped; half of it makes an entry sparse while the basis is fitted
 STUCK = 8  # equal readings in a frozen run
 SLOTS = 6  # slots of a day
 RANK = 3
 ROUNDS = 2  # re-estimations of the basis after the first
+GROUPS = 64  # groups of tasks whose Gram matrices are added up first
+SOURCES = 10_000  # sources whose bases are held at once
+LOOSE = 2**30  # keys that readings without stay or time are spread over
 
+IMPOSSIBLE_FAULT, STUCK_FAULT = 1, 2
+_GRAM = pa.schema([("source", pa.string()), ("part", pa.int32()), ("gram", pa.list_(pa.float64()))])
+_BASIS = pa.schema([("source", pa.string()), ("basis", pa.list_(pa.float64()))])
+_FOUND = pa.schema([("event_id", pa.int64()), ("defect", pa.string()), ("rank", pa.int32())])
 
-def standardised_readings(events: DataFrame, reference: DataFrame) -> DataFrame:
-    """Readings with a number: ids, item, time, common value, impossible, and a hash of the delivery."""
+
+def standardised_readings(events: DataFrame, reference: DataFrame, items: list[str]) -> DataFrame:
+    """Readings with a number: ids, item, cell of the day, time, common value, impossible, and a hash of the delivery.
+
+    ``cell`` is -1 for a label that isn't among ``items``.
+    """
     same = [c for c in events.columns if c not in ("event_id", "loaded_at")]
-    rows = normalise_quantities(
-        events.where(F.col("event_type").isin("lab", "vital")).withColumn("_same", F.xxhash64(*[F.col(c) for c in same])), reference
-    ).where("q_value IS NOT NULL")
+    readings = events.where(F.col("event_type").isin("lab", "vital")).withColumn("_same", F.xxhash64(*[F.col(c) for c in same]))
+    rows = normalise_quantities(readings, reference).where("q_value IS NOT NULL")
+    index = F.try_element_at(F.create_map(*[F.lit(x) for i, name in enumerate(items) for x in (name, i)]), F.col("q_item")) if items else F.lit(None).cast("int")
+    ts = F.col("timestamp").try_cast("timestamp_ntz")
+    slot = F.coalesce(F.floor(F.hour(ts) / (24 // SLOTS)), F.lit(0))
     return rows.select(
         F.col("event_id").cast("bigint").alias("event_id"),
         F.col("hadm_id").cast("bigint").alias("hadm_id"),
         F.coalesce("source", F.lit("")).alias("source"),
         F.col("q_item").alias("item"),
-        F.col("timestamp").try_cast("timestamp_ntz").alias("ts"),
+        F.coalesce(index * SLOTS + slot, F.lit(-1)).cast("int").alias("cell"),
+        ts.alias("ts"),
         F.round("q_value", 6).alias("v"),
         F.coalesce((F.col("q_value") < F.col("q_low") - F.col("q_slack") - 1e-9) | (F.col("q_value") > F.col("q_high") + F.col("q_slack") + 1e-9), F.lit(False)).alias("impossible"),
         F.col("_same").alias("same"),
-        F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at"),
     )
 
 
-def source_levels(readings: DataFrame) -> DataFrame:
-    """Level and spread of each (source, item) from quartile digests that combine before the shuffle."""
-    q = readings.where("NOT impossible").groupBy("source", "item").agg(F.percentile_approx("v", [0.1, 0.25, 0.5, 0.75, 0.9], 2000).alias("q"))
+def sequenced(readings: DataFrame) -> DataFrame:
+    """``readings`` with the two neighbours on each side in the sequence of stay, source and item, and stuck.
+
+    Repeated deliveries stand next to each other; they take part in nothing and show what the
+    first of them shows. Every window runs over one sort. An impossible neighbour is NaN.
+    """
+    tied = F.col("hadm_id").isNotNull() & F.col("ts").isNotNull()
+    rows = readings.withColumn("seq", tied).withColumn("key", F.when(tied, F.col("hadm_id")).otherwise(F.pmod(F.xxhash64("event_id"), F.lit(LOOSE))))
+    over = "OVER (PARTITION BY key, source, item, seq ORDER BY ts, v, same, event_id)"
+    upto = over[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    rows = rows.repartition("key", "source").withColumn("again", F.expr(f"coalesce(lag(same) {over} = same, false)"))
+    rows = rows.withColumn("shown", F.expr("CASE WHEN again THEN NULL WHEN impossible THEN double('NaN') ELSE v END")).withColumn("v3", F.expr("IF(again, NULL, round(v, 3))"))
+    beside = {
+        "p1": f"IF(again, lag(shown, 2) IGNORE NULLS {over}, lag(shown, 1) IGNORE NULLS {over})",
+        "p2": f"IF(again, lag(shown, 3) IGNORE NULLS {over}, lag(shown, 2) IGNORE NULLS {over})",
+        "n1": f"lead(shown, 1) IGNORE NULLS {over}",
+        "n2": f"lead(shown, 2) IGNORE NULLS {over}",
+        "nth": f"sum(IF(again, 0, 1)) {upto}",
+        "before": f"lag(v3, 1) IGNORE NULLS {over}",
+    }
+    rows = rows.withColumns({c: F.expr(e) for c, e in beside.items()})
+    # Runs: the number of the reading a run begins with, and whether the run reaches far enough ahead.
+    rows = rows.withColumn("begun", F.expr(f"max(IF(again OR before = v3, NULL, nth)) {upto}")).withColumn("own", F.expr("IF(again, NULL, begun)"))
+    place = F.col("nth") - F.col("begun") + 1
+    stuck = place >= STUCK
+    for k in range(1, STUCK):
+        stuck = stuck | ((place + k >= STUCK) & F.expr(f"coalesce(lead(own, {k}) IGNORE NULLS {over} = begun, false)"))
+    return rows.withColumn("stuck", F.col("seq") & stuck & (F.col("item") != "pain score")).drop("again", "shown", "v3", "nth", "before", "begun", "own", "same")
+
+
+def daily_profiles(rows: DataFrame) -> DataFrame:
+    """Rows of the matrices: (source, seq) with parallel arrays of the readings of one stay-day.
+
+    The grouping lies within the partitioning of ``sequenced`` and needs no further shuffle.
+    An impossible value is NaN and stands in no matrix; a neighbour that isn't there is infinite.
+    """
+    fault = F.when(F.col("impossible"), IMPOSSIBLE_FAULT).when(F.col("stuck"), STUCK_FAULT).otherwise(0).cast("tinyint")
+    value = F.when(F.col("impossible"), float("nan")).otherwise(F.col("v"))
+    beside = [F.coalesce(F.col(c), F.lit(float("inf"))).alias(c) for c in ("p2", "p1", "n1", "n2")]
+    one = F.struct("event_id", "cell", value.alias("v"), *beside, fault.alias("fault"))
+    days = rows.groupBy("key", "source", "seq", F.when(F.col("seq"), F.to_date("ts")).alias("day")).agg(F.collect_list(one).alias("c"))
+    return days.select("source", "seq", *[F.expr(f"transform(c, x -> x.{f})").alias(f) for f in ("event_id", "cell", "v", "p2", "p1", "n1", "n2", "fault")])
+
+
+def source_levels(profiles: DataFrame) -> DataFrame:
+    """(source, idx, level, spread) of each source and item from quartile digests that combine before the shuffle."""
+    values = profiles.select("source", F.explode(F.arrays_zip("cell", "v")).alias("x")).select("source", F.floor(F.col("x.cell") / SLOTS).cast("int").alias("idx"), F.col("x.v").alias("v"))
+    q = values.where("idx >= 0 AND NOT isnan(v)").groupBy("source", "idx").agg(F.percentile_approx("v", [0.1, 0.25, 0.5, 0.75, 0.9], 2000).alias("q"))
     spread = F.greatest(F.expr("q[3] - q[2]"), F.expr("q[2] - q[1]"), F.expr("(q[3] - q[1]) / 2")) / 0.67449
     wide = F.expr("(q[4] - q[0]) / 2") / 1.28155
-    return q.select("source", "item", F.expr("q[2]").alias("level"), F.when(spread > 0, spread).otherwise(wide).alias("spread"))
+    return q.select("source", "idx", F.expr("q[2]").alias("level"), F.when(spread > 0, spread).otherwise(wide).alias("spread"))
 
 
-def daily_profiles(readings: DataFrame, levels: DataFrame, items: list[str]) -> DataFrame:
-    """Rows of the matrices: (source, stay, day) with parallel arrays of event id, column and z.
+class Source:
+    """Level and spread by item, and the basis of the low-rank part, of one source."""
 
-    One row holds one stay-day of a source.
-    """
-    column = F.array_position(F.array(*[F.lit(i) for i in items]), F.col("item")).cast("int") - 1
-    z = (F.col("v") - F.col("level")) / F.col("spread")
-    cells = (
-        readings.where("hadm_id IS NOT NULL AND ts IS NOT NULL AND NOT impossible")
-        .join(F.broadcast(levels.where("spread > 0")), ["source", "item"])
-        .select("source", "hadm_id", F.to_date("ts").alias("day"), F.struct("event_id", (column * SLOTS + F.floor(F.hour("ts") / (24 // SLOTS))).cast("int").alias("cell"), z.alias("z")).alias("c"))
-    )
-    rows = cells.groupBy("source", "hadm_id", "day").agg(F.collect_list("c").alias("c"))
-    return rows.select("source", F.expr("transform(c, x -> x.event_id)").alias("event_id"), F.expr("transform(c, x -> x.cell)").alias("cell"), F.expr("transform(c, x -> x.z)").alias("z"))
+    def __init__(self, n_items: int) -> None:
+        self.level = np.zeros(n_items)
+        self.spread = np.zeros(n_items)
+        self.basis: np.ndarray | None = None
+
+    def z(self, cell: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Deviations in spreads; NaN for impossible values, unlisted items and spreads of zero."""
+        idx = np.maximum(cell, 0) // SLOTS
+        spread = self.spread[idx]
+        return np.where((cell >= 0) & (spread > 0), (v - self.level[idx]) / np.where(spread > 0, spread, 1.0), np.nan)
+
+
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Source of each row; row of each entry; the flattened list columns."""
+    columns = [batch.column(i) for i in range(1, batch.num_columns)]
+    counts = np.diff(columns[0].offsets.to_numpy())
+    return np.asarray(batch.column(0).to_pylist(), dtype=object), np.repeat(np.arange(len(counts)), counts), [x.flatten().to_numpy(zero_copy_only=False) for x in columns]
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Source of each row; row, event, column and z of each entry."""
-    lists = [batch.column(i).combine_chunks() if isinstance(batch.column(i), pa.ChunkedArray) else batch.column(i) for i in (1, 2, 3)]
-    counts = np.diff(lists[0].offsets.to_numpy())
-    row = np.repeat(np.arange(len(counts)), counts)
-    return (np.asarray(batch.column(0).to_pylist(), dtype=object), row, *(x.flatten().to_numpy(zero_copy_only=False) for x in lists))
+def _by_source(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, int, list[np.ndarray]]]:
+    """(source, row of each entry, rows, flattened columns) of every source in a batch."""
+    sources, row, columns = _lists(batch)
+    for s in sorted(set(sources.tolist())):
+        pick = sources == s
+        keep = pick[row]
+        yield s, (np.cumsum(pick) - 1)[row[keep]], int(pick.sum()), [c[keep] for c in columns]
 
 
 def _low_rank(row: np.ndarray, cell: np.ndarray, z: np.ndarray, n_rows: int, width: int, basis: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Low-rank rows on every cell, and the completed matrix with its sparse part taken out."""
     clipped = np.clip(z, -SPARSE, SPARSE)
-    total, seen = np.zeros((n_rows, width)), np.zeros((n_rows, width))
-    np.add.at(total, (row, cell), clipped)
-    np.add.at(seen, (row, cell), 1.0)
+    at = row * width + cell
+    total = np.bincount(at, weights=clipped, minlength=n_rows * width).reshape(n_rows, width)
+    seen = np.bincount(at, minlength=n_rows * width).reshape(n_rows, width)
     has = seen > 0
     mean = np.divide(total, seen, out=np.zeros_like(total), where=has)
     if basis is None:
@@ -108,99 +175,101 @@ def _low_rank(row: np.ndarray, cell: np.ndarray, z: np.ndarray, n_rows: int, wid
     return low, full
 
 
-def _grams(rows: DataFrame, width: int, bases: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Gram matrix of the cleaned rows of each source, added up per task first."""
+def fitted_bases(rows: DataFrame, width: int, known: dict[str, Source]) -> dict[str, np.ndarray]:
+    """Leading right singular vectors of the cleaned matrix of every source."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            sources, row, _, cell, z = _flat(batch)
-            for s in set(sources.tolist()):
-                pick = sources == s
-                keep = pick[row]
-                local = np.cumsum(pick) - 1
-                _, full = _low_rank(local[row[keep]], cell[keep], z[keep], int(pick.sum()), width, bases.get(s))
+            for s, row, n, (cell, v) in _by_source(batch):
+                own = shared.value.get(s)
+                if own is None:
+                    continue
+                z = own.z(cell, v)
+                ok = np.isfinite(z)
+                _, full = _low_rank(row[ok], cell[ok], z[ok], n, width, own.basis)
                 sums[s] = sums.get(s, 0.0) + full.T @ full
+        part = TaskContext.get().partitionId() % GROUPS
         for s, g in sums.items():
-            yield pa.RecordBatch.from_pydict({"source": [s], "gram": [g.ravel()]}, schema=pa.schema([("source", pa.string()), ("gram", pa.list_(pa.float64()))]))
+            yield pa.RecordBatch.from_pydict({"source": [s], "part": [part], "gram": [g.ravel()]}, schema=_GRAM)
 
-    def add(key, grams):
-        total = np.zeros(width * width)
+    def total(grams: pa.Table) -> np.ndarray:
+        out = np.zeros(width * width)
         for chunk in grams.column("gram").chunks:
-            total += chunk.flatten().to_numpy().reshape(-1, width * width).sum(axis=0)
-        return pa.Table.from_pydict({"source": [key[0].as_py()], "gram": [total]}, schema=pa.schema([("source", pa.string()), ("gram", pa.list_(pa.float64()))]))
-
-    sums = rows.select("source", "event_id", "cell", "z").mapInArrow(partial, "source string, gram array<double>").groupBy("source").applyInArrow(add, "source string, gram array<double>")
-    return {r.source: np.asarray(r.gram).reshape(width, width) for r in sums.toLocalIterator()}
-
-
-def robust_bases(rows: DataFrame, width: int) -> dict[str, np.ndarray]:
-    """Leading right singular vectors per source, re-estimated with the sparse part taken out."""
-    bases: dict[str, np.ndarray] = {}
+            out += chunk.flatten().to_numpy().reshape(-1, width * width).sum(axis=0)
+        return out
+
+    def add(key: tuple, grams: pa.Table) -> pa.Table:
+        return pa.Table.from_pydict({"source": [key[0].as_py()], "part": [0], "gram": [total(grams)]}, schema=_GRAM)
+
+    def leading(key: tuple, grams: pa.Table) -> pa.Table:
+        values, vectors = np.linalg.eigh(total(grams).reshape(width, width))
+        basis = np.where(values[-RANK:] > 1e-9, vectors[:, -RANK:], 0.0)
+        return pa.Table.from_pydict({"source": [key[0].as_py()], "basis": [basis.ravel()]}, schema=_BASIS)
+
+    kind = "source string, part int, gram array<double>"
+    summed = rows.where("seq").select("source", "cell", "v").mapInArrow(partial, kind).groupBy("source", "part").applyInArrow(add, kind)
+    out = {r.source: np.asarray(r.basis).reshape(width, -1) for r in summed.groupBy("source").applyInArrow(leading, "source string, basis array<double>").toLocalIterator()}
+    shared.unpersist()
+    return out
+
+
+def robust_sources(rows: DataFrame, levels: DataFrame, n_items: int) -> dict[str, Source]:
+    """What each source normally reports: levels, spreads, and a basis re-estimated with the sparse part taken out."""
+    known: dict[str, Source] = {}
+    for r in levels.toLocalIterator():
+        own = known.setdefault(r.source, Source(n_items))
+        own.level[r.idx], own.spread[r.idx] = r.level, r.spread or 0.0
     for _ in range(1 + ROUNDS):
-        grams = _grams(rows, width, bases)
-        bases = {}
-        for s, g in grams.items():
-            values, vectors = np.linalg.eigh(g)
-            bases[s] = np.where(values[-RANK:] > 1e-9, vectors[:, -RANK:], 0.0)
-    return bases
+        for s, basis in fitted_bases(rows, n_items * SLOTS, known).items():
+            known[s].basis = basis
+    return known
 
 
-def sparse_entries(rows: DataFrame, width: int, bases: dict[str, np.ndarray]) -> DataFrame:
-    """(event_id, residual) of entries in the sparse part."""
+def faulty_entries(rows: DataFrame, width: int, known: dict[str, Source]) -> DataFrame:
+    """(event_id, defect, rank) of impossible and stuck readings, and of isolated entries of the sparse part."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            sources, row, event, cell, z = _flat(batch)
-            low = np.zeros(len(z))
-            for s in set(sources.tolist()):
-                pick = sources == s
-                keep = pick[row]
-                local = np.cumsum(pick) - 1
-                fit, _ = _low_rank(local[row[keep]], cell[keep], z[keep], int(pick.sum()), width, bases.get(s))
-                low[keep] = fit[local[row[keep]], cell[keep]]
-            out = np.abs(z - low) > SPARSE
-            yield pa.RecordBatch.from_pydict({"event_id": event[out], "residual": (z - low)[out]}, schema=pa.schema([("event_id", pa.int64()), ("residual", pa.float64())]))
-
-    return rows.select("source", "event_id", "cell", "z").mapInArrow(split, "event_id bigint, residual double")
-
-
-def sequence_faults(readings: DataFrame, levels: DataFrame) -> DataFrame:
-    """Readings of runs and isolated far readings: (event_id, stuck, spike) where one holds."""
-    seq = readings.where("hadm_id IS NOT NULL AND ts IS NOT NULL").join(F.broadcast(levels), ["source", "item"], "left")
-    key = ["hadm_id", "source", "item"]
-    order = Window.partitionBy(*key).orderBy("ts", "v", "same", "loaded_at", "event_id")
-    seq = seq.withColumn("again", F.coalesce((F.lag("same").over(order) == F.col("same")).cast("int"), F.lit(0)))
-    seq = seq.withColumn("idx", F.sum(1 - F.col("again")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    seq = seq.withColumn("v3", F.round("v", 3)).withColumn("far", ~F.col("impossible") & (F.col("spread") > 0) & (F.abs(F.col("v") - F.col("level")) > FAR * F.col("spread")))
-    by_idx = Window.partitionBy(*key).orderBy("idx")
-    at = lambda c, k: F.max(c).over(by_idx.rangeBetween(k, k))
-    seq = seq.withColumns({"v_1": at("v3", -1), "f_1": at("far", -1), "f_2": at("far", -2), "f1": at("far", 1), "f2": at("far", 2)})
-    single = ~F.col("f_1") & ~F.col("f1")
-    first = ~F.col("f_1") & F.col("f1") & ~F.col("f2")
-    second = F.col("f_1") & ~F.col("f_2") & ~F.col("f1")
-    seq = seq.withColumn("spike", F.coalesce(F.col("far") & (single | first | second), F.lit(False)))
-    change = F.when((F.col("again") == 0) & (F.col("v_1").isNull() | (F.col("v_1") != F.col("v3"))), 1).otherwise(0)
-    seq = seq.withColumn("run", F.sum(change).over(by_idx.rangeBetween(Window.unboundedPreceding, 0)))
-    seq = seq.withColumn("length", F.sum(1 - F.col("again")).over(Window.partitionBy(*key, "run")))
-    stuck = (F.col("length") >= STUCK) & (F.col("item") != "pain score")
-    return seq.select("event_id", stuck.alias("stuck"), "spike", (F.col("again") == 1).alias("again"), *key, "same").where("stuck OR spike")
+            for s, row, n, (event, cell, v, p2, p1, n1, n2, fault) in _by_source(batch):
+                spike = np.zeros(len(event), dtype=bool)
+                own = shared.value.get(s)
+                if own is not None and own.basis is not None:
+                    z = own.z(cell, v)
+                    ok = np.isfinite(z)
+                    low, _ = _low_rank(row[ok], cell[ok], z[ok], n, width, own.basis)
+                    usual = np.zeros(len(z))
+                    usual[ok] = low[row[ok], cell[ok]]
+                    far = lambda x: np.abs(own.z(cell, x) - usual) > FAR  # noqa: B023, E731  (NaN is not far)
+                    # A neighbour that isn't there is infinite, so far: no reading at an end is isolated.
+                    f_2, f_1, f1, f2 = far(p2), far(p1), far(n1), far(n2)
+                    single, first, second = ~f_1 & ~f1, ~f_1 & f1 & ~f2, f_1 & ~f_2 & ~f1
+                    spike = far(v) & (single | first | second)
+                defect = np.where(fault == IMPOSSIBLE_FAULT, "impossible", np.where(fault == STUCK_FAULT, "stuck", "spike"))
+                out = (fault > 0) | spike
+                rank = np.where(fault > 0, fault - 1, 2).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"event_id": event[out], "defect": defect[out], "rank": rank[out]}, schema=_FOUND)
+
+    return rows.select("source", "event_id", "cell", "v", "p2", "p1", "n1", "n2", "fault").mapInArrow(split, "event_id bigint, defect string, rank int")
 
 
 def implausible_readings(events: DataFrame, reference: DataFrame) -> DataFrame:
     """(event_id, defect): impossible, stuck or spike, in that priority, repeated deliveries included."""
-    readings = materialise(standardised_readings(events, reference), "readings")
-    levels = source_levels(readings)
     items = sorted(r.label.lower() for r in reference_rows(reference) if r.kind != "drug")
-    rows = materialise(daily_profiles(readings, levels, items), "profiles")
-    width = max(1, len(items) * SLOTS)
-    sparse = sparse_entries(rows, width, robust_bases(rows, width)).select("event_id").withColumn("sparse", F.lit(True))
-    faults = sequence_faults(readings, levels).join(sparse, "event_id", "left").where("stuck OR sparse")
-    kind = F.when(F.col("stuck"), "stuck").otherwise("spike")
-    ordered = faults.select("event_id", kind.alias("defect"), F.when(F.col("stuck"), 1).otherwise(2).alias("rank"))
-    impossible = readings.where("impossible").select("event_id", F.lit("impossible").alias("defect"), F.lit(0).alias("rank"))
-    return ordered.unionByName(impossible).groupBy("event_id").agg(F.min_by("defect", "rank").alias("defect"))
+    rows = materialise(daily_profiles(sequenced(standardised_readings(events, reference, items))), "profiles")
+    levels = materialise(source_levels(rows), "levels")
+    n_blocks = -(-max(1, levels.select("source").distinct().count()) // SOURCES)
+    found = None
+    for b in range(n_blocks):
+        mine = lambda df: df if n_blocks == 1 else df.where(F.pmod(F.xxhash64("source"), F.lit(n_blocks)) == b)  # noqa: B023, E731
+        known = robust_sources(mine(rows), mine(levels), max(1, len(items)))
+        part = faulty_entries(mine(rows), max(1, len(items)) * SLOTS, known)
+        found = part if found is None else found.unionByName(part)
+    release(levels)
+    return found.groupBy("event_id").agg(F.min_by("defect", "rank").alias("defect"))
