@@ -25,6 +25,10 @@ def p1_admissions(spark: SparkSession, d: str) -> DataFrame:
     return flatten.timeline_admissions(*_records(spark, d))
 
 
+def p1_stays(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.timeline_stays(*_records(spark, d))
+
+
 def p1_events(spark: SparkSession, d: str) -> DataFrame:
     return flatten.timeline_event_rows(*_records(spark, d))
 
@@ -42,7 +46,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible_readings(table(spark, d, "timeline_events"), table(spark, d, "measure_reference"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_demographics, p1_admissions, p1_events, p2_found, p2_common_units, p4_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_demographics, p1_admissions, p1_stays, p1_events, p2_found, p2_common_units, p4_found)}
 
 _VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" for x in r) + ")" for r in rows)
 _KEY = lambda c: f"nullif(regexp_replace(lower(translate({c}, 'µμ', 'uu')), '[\\s\\x{{A0}}.]+', '', 'g'), '')"
@@ -67,35 +71,54 @@ P2_SQL = f"""
         OR (n.spelling IS NULL AND n.lo IS NOT NULL AND NOT n.number BETWEEN n.lo AND n.hi AND EXISTS (SELECT 1 FROM scale s WHERE s.item = n.item AND (s.factor <> 1 OR s.shift <> 0) AND n.number * s.factor + s.shift BETWEEN n.lo AND n.hi)))
 """
 
+# The raw payloads of other senders, their stays and their entries with the places they stand in.
+RAW_SQL = """raw AS (SELECT raw_id, CAST(payload AS JSON) AS p FROM timeline_raw WHERE json_valid(payload)),
+    parts AS (
+        SELECT raw_id, p->'$.demographics' AS demo, p->'$.stays' AS top_stays,
+            CASE WHEN json_type(p->'$.admission') = 'VARCHAR' THEN CAST(p->>'$.admission' AS JSON) ELSE p->'$.admission' END AS adm,
+            CASE WHEN json_type(p->'$.events') = 'VARCHAR' THEN CAST(p->>'$.events' AS JSON) ELSE p->'$.events' END AS ev FROM raw
+    ), stays AS (SELECT raw_id, k, ss[k] AS s FROM (SELECT raw_id, json_extract(coalesce(top_stays, adm->'$.stays'), '$[*]') AS ss FROM parts), unnest(range(1, len(ss) + 1)) AS t(k)),
+    keyed AS (SELECT raw_id, ev, n, ks[n] AS k FROM (SELECT raw_id, ev, json_keys(ev) AS ks FROM parts WHERE json_type(ev) = 'OBJECT'), unnest(range(1, len(ks) + 1)) AS t(n)),
+    grouped AS (SELECT raw_id, n, k, json_extract(ev, '$."' || k || '"') AS v FROM keyed),
+    lists AS (
+        SELECT raw_id, 0 AS place, NULL AS stay_idx, NULL AS k, json_extract(ev, '$[*]') AS es FROM parts WHERE json_type(ev) = 'ARRAY'
+        UNION ALL SELECT raw_id, k, k - 1, NULL, json_extract(s, '$.events[*]') FROM stays
+        UNION ALL SELECT raw_id, n, NULL, k, json_extract(v, '$[*]') FROM grouped WHERE json_type(v) = 'ARRAY'
+        UNION ALL SELECT raw_id, n, NULL, k, [v] FROM grouped WHERE json_type(v) = 'OBJECT'
+    ), entries AS (SELECT raw_id, place, stay_idx, k, i - 1 AS event_idx, es[i] AS e FROM lists, unnest(range(1, len(es) + 1)) AS t(i) WHERE json_type(es[i]) <> 'NULL')"""
+TEXT_FIELDS = [f for f, t in flatten.EVENT_FIELDS.items() if f != "event_type"]
+
 ORACLES: dict[str, str] = {
     "p2_found": P2_SQL,
-    "p1_found": """
+    "p1_found": f"""
         WITH own AS (
             SELECT 'patient_timelines' AS origin, record_id, 'demographics' AS child FROM patient_timelines
                 WHERE len(list_filter(json_extract(to_json(demographics), '$.*'), lambda v: json_type(v) <> 'NULL')) > 0
             UNION ALL SELECT 'patient_timelines', record_id, 'admission' FROM patient_timelines
                 WHERE len(list_filter(json_extract(to_json(admission), '$.*'), lambda v: json_type(v) <> 'NULL')) > 0
             UNION ALL SELECT 'patient_timelines', record_id, e.event_type FROM (SELECT record_id, unnest(events) AS e FROM patient_timelines) WHERE e IS NOT NULL
-        ), raw AS (SELECT raw_id, CAST(payload AS JSON) AS p FROM timeline_raw WHERE json_valid(payload)),
-        parts AS (
-            SELECT raw_id, p->'$.demographics' AS demo, p->'$.stays' AS top_stays,
-                CASE WHEN json_type(p->'$.admission') = 'VARCHAR' THEN CAST(p->>'$.admission' AS JSON) ELSE p->'$.admission' END AS adm,
-                CASE WHEN json_type(p->'$.events') = 'VARCHAR' THEN CAST(p->>'$.events' AS JSON) ELSE p->'$.events' END AS ev FROM raw
-        ), stays AS (SELECT raw_id, unnest(json_extract(coalesce(top_stays, adm->'$.stays'), '$[*]')) AS s FROM parts),
-        grouped AS (SELECT raw_id, k, json_extract(ev, '$."' || k || '"') AS v FROM (SELECT raw_id, ev, unnest(json_keys(ev)) AS k FROM parts WHERE json_type(ev) = 'OBJECT')),
-        entries AS (
-            SELECT raw_id, unnest(json_extract(ev, '$[*]')) AS e, NULL AS k FROM parts WHERE json_type(ev) = 'ARRAY'
-            UNION ALL SELECT raw_id, unnest(json_extract(s, '$.events[*]')), NULL FROM stays
-            UNION ALL SELECT raw_id, unnest(json_extract(v, '$[*]')), k FROM grouped WHERE json_type(v) = 'ARRAY'
-            UNION ALL SELECT raw_id, v, k FROM grouped WHERE json_type(v) = 'OBJECT'
-        ), other AS (
+        ), {RAW_SQL}, other AS (
             SELECT 'timeline_raw' AS origin, raw_id AS record_id, 'demographics' AS child FROM parts WHERE len(list_filter(json_extract(demo, '$.*'), lambda v: json_type(v) <> 'NULL')) > 0
             UNION ALL SELECT 'timeline_raw', raw_id, 'admission' FROM parts
                 WHERE len(list_filter(json_keys(adm), lambda k: k <> 'stays' AND json_type(json_extract(adm, '$."' || k || '"')) <> 'NULL')) > 0
-            UNION ALL SELECT 'timeline_raw', raw_id, coalesce(e->>'$.event_type', k) FROM entries WHERE json_type(e) <> 'NULL'
+            UNION ALL SELECT 'timeline_raw', raw_id, coalesce(e->>'$.event_type', k) FROM entries
         )
         SELECT origin, record_id, child, count(*) AS n_rows FROM (SELECT * FROM own UNION ALL SELECT * FROM other) WHERE child IS NOT NULL GROUP BY ALL
     """,
+    "p1_stays": f"WITH {RAW_SQL} SELECT 'timeline_raw' AS origin, raw_id AS record_id, CAST(k - 1 AS INTEGER) AS stay_idx, s->>'$.stay_id' AS stay_id, s->>'$.unit_name' AS unit_name FROM stays WHERE json_type(s) <> 'NULL'",
+    "p1_admissions": f"""
+        WITH {RAW_SQL} SELECT 'patient_timelines' AS origin, record_id, a.* FROM (SELECT record_id, admission AS a FROM patient_timelines)
+            WHERE len(list_filter(json_extract(to_json(a), '$.*'), lambda v: json_type(v) <> 'NULL')) > 0
+        UNION ALL SELECT 'timeline_raw', raw_id, {", ".join(f"CAST(adm->>'$.{f}' AS {t.removesuffix('_ntz').replace('string', 'varchar')}) AS {f}" for f, t in flatten.ADMISSION_FIELDS.items())}
+            FROM parts WHERE len(list_filter(json_keys(adm), lambda k: k <> 'stays' AND json_type(json_extract(adm, '$."' || k || '"')) <> 'NULL')) > 0
+    """,
+    "p1_events": f"""
+        WITH {RAW_SQL}, own AS (SELECT record_id, i - 1 AS event_idx, events[i] AS e FROM patient_timelines, unnest(range(1, len(events) + 1)) AS t(i) WHERE events[i] IS NOT NULL)
+        SELECT 'patient_timelines' AS origin, record_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY event_idx) - 1 AS INTEGER) AS entry_idx, CAST(NULL AS INTEGER) AS stay_idx, CAST(NULL AS VARCHAR) AS group_key,
+            CAST(event_idx AS INTEGER) AS event_idx, e.event_type AS event_type, {", ".join(f"e.{f} AS {f}" for f in TEXT_FIELDS)} FROM own
+        UNION ALL SELECT 'timeline_raw', raw_id, CAST(row_number() OVER (PARTITION BY raw_id ORDER BY place, event_idx) - 1 AS INTEGER), CAST(stay_idx AS INTEGER), k, CAST(event_idx AS INTEGER),
+            coalesce(e->>'$.event_type', k), {", ".join(f"TRY_CAST(e->>'$.{f}' AS {flatten.EVENT_FIELDS[f].replace('string', 'varchar')})" for f in TEXT_FIELDS)} FROM entries
+    """,
     "p1_demographics": """
         SELECT 'patient_timelines' AS origin, record_id, d.subject_id, d.gender, d.anchor_age, d.anchor_year, d.anchor_year_group, d.dod FROM (SELECT record_id, demographics AS d FROM patient_timelines)
             WHERE coalesce(CAST(d.subject_id AS VARCHAR), d.gender, CAST(d.anchor_age AS VARCHAR), CAST(d.anchor_year AS VARCHAR), d.anchor_year_group, CAST(d.dod AS VARCHAR)) IS NOT NULL
