@@ -1,8 +1,9 @@
 """Unusable answers: ordered rules over each question and answer, every triggered type emitted.
 
-The rules are JVM expressions. Only the test for an answer cut within a word needs more than
-its row: the texts its last word ends openly are weighed against those it stands whole in.
-The measures are shares, so that a verdict does not depend on the size of the table.
+The rules are JVM expressions and look at their row alone. An answer cut within a word is
+told by a fixed lexicon, the words of a public tokenizer: a last word that is none of them
+but the beginning of one is a fragment, and a clause without a full stop has to end in a
+whole word.
 
 Types in order of priority: empty, copied_question, refusal, truncated, other_language.
 
@@ -14,22 +15,28 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import os
+from bisect import bisect_left
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartloom.functions.text import ENTITIES
+from chartloom.llm.bpe import TOKENIZER_DIR
 from chartloom.llm.questions import INTERROGATIVES, OPENINGS, content_tokens, plain_text
 
-BRIEF = 200  # characters of an answer that can be a fixed placeholder
-WHOLE = 0.1  # share of a word's texts it may stand whole in and still be taken for a fragment
-PREFIX = 0.5  # the same for the beginning of words that stand whole in more texts than it ends
-RECURRING = (5, 0.005)  # texts, and share of all texts, from which on an open ending is a habit, not a cut
-LONGEST = 40  # letters of a fragment that is looked for at the beginning of longer words
+LEXICON_FILE = "word_bpe_49k.json"  # tokens of this vocabulary that end a word are the lexicon
+WHOLE_LENGTH = 6  # letters from which on a word of the lexicon is taken for whole
+FEW_LONGER = 2  # words of the lexicon that may begin with a shorter word taken for whole
+COMMON = 6000  # rank of other words of four and five letters that are taken for whole
+LONGEST = 40  # letters of a last word that is looked up
+MARKS = " \t\r\n\"'().:!*_-"  # around a placeholder
 ORDER = ["empty", "copied_question", "refusal", "truncated", "other_language"]
 
 # What stands in place of an answer.
 PLACEHOLDERS = r"(?:n/?a|n\.a\.?|none|null|nil|nan|undefined|tbd|t\.b\.d\.|todo|to do|pending|placeholder|answer|no answer|not available|not applicable|missing|empty|blank|unknown|xxx+|lorem ipsum.*|insert answer.*|your answer.*|answer here|see above|<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\})"
-# The ones among them that have no length of their own; every part is linear in the text.
-OPEN_PLACEHOLDERS = r"(?:(?:lorem ipsum|insert answer|your answer).*|(?:<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\})[\s\"').:!*_-]*+)"
 # Refusals for reasons of policy, privacy or ability, by language.
 REFUSALS = "|".join(
     [
@@ -39,8 +46,8 @@ REFUSALS = "|".join(
         r"\b(?:unable|not able|not permitted|not allowed|not in a position|not authori[sz]ed) to (?:help|assist|provide|answer|discuss|comment|give|share|disclose|interpret|advise|speculate|respond|go)",
         r"(?:must|have to|need to|will|would) (?:respectfully )?decline", r"\brather not (?:speculate|say|answer|comment|discuss)", r"leave this question unanswered",
         r"not something i can (?:comment|discuss|answer|help|share)", r"no comment can be given", r"guidelines (?:do not|don't) (?:allow|permit)", r"(?:against|violates?|violate) (?:my |the |patient )?(?:policy|policies|guidelines|privacy|rules)",
-        r"beyond what i am (?:able|allowed)", r"(?:consult|speak (?:to|with)|ask) (?:a|your|the) (?:qualified|licensed|treating|doctor|physician|clinician|care)", r"for (?:privacy|safety|legal|policy) reasons,? (?:i|we|this)",
-        r"\bich (?:kann|darf|möchte|werde) (?:[\p{L} ,]{0,60})?(?:nicht|keine)\b[^.]{0,60}(?:beantworten|helfen|geben|äußern|sagen|auskunft)", r"tut mir leid", r"als (?:ki|sprachmodell)\b", r"datenschutz",
+        r"beyond what i am (?:able|allowed)", r"for (?:privacy|safety|legal|policy) reasons,? (?:i|we|this)",
+        r"\bich (?:kann|darf|möchte|werde) (?:[\p{L} ,]{0,60})?(?:nicht|keine)\b[^.]{0,60}(?:beantworten|helfen|geben|äußern|sagen|auskunft)", r"tut mir leid", r"als (?:ki|sprachmodell)\b", r"(?:aus|wegen) (?:gründen des |des )?datenschutz",
         r"\bje (?:ne peux|ne suis|regrette|suis désolé)", r"en tant qu(?:'|e )(?:ia|assistant|modèle)", r"désolé,? (?:mais )?je",
         r"\blo siento\b", r"\bno (?:puedo|estoy autorizad[oa]) (?:[\p{L}]+ )?(?:responder|ayudar|dar|proporcionar|comentar|hablar|facilitar|a )", r"como (?:modelo de lenguaje|ia|inteligencia|asistente)",
         r"\bnon posso (?:rispondere|aiutare|fornire|commentare|dare)", r"mi dispiace", r"não posso (?:responder|ajudar|fornecer|comentar|dar)", r"lamento,? mas", r"ik kan (?:daar|dit|hier|u|geen)[^.]{0,40}(?:niet|geen)",
@@ -52,7 +59,12 @@ not due order spite compared together well first second third raised given short
 der die das den dem des ein eine einen und oder aber weil wurde wird war ist mit von zu bei für im am auf nach
 le la les un une des du de et ou mais parce que qui dans pour avec sur était est a été
 el los las una unos y o pero porque que con por para en fue es del al se""".split()
-CLAUSES = r"\b(?:because|whereas|although|which|despite|following|after which|with subsequent|so that|in order to|as documented|where it|(?:shows|notes|states|says|found|noted) that|while the|before being|and was then|but it|in spite of|after the patient had|and the|(?:weil|parce que|porque) )\b|\band was\b"
+CLAUSES = r"\b(?:because(?! of\b)|whereas|although|which|despite|following|after which|with subsequent|so that|in order to|as documented|where it|(?:shows|notes|states|says|found|noted) that|while the|before being|and was then|but it|after the [a-z]+ (?:had|could|was)|and the|(?:weil|parce que|porque) )\b|\band was\b"
+# A clause that has named its subject and nothing more.
+FINITE = "is|was|are|were|had|has|have|did|does|took|rose|fell|went|came|got|can|could|will|would|needs?|stayed|received|occurred|improved|changed|remained|increased|decreased|started|stopped"
+BARE_SUBJECT = rf"\b(?:shows|notes|states|says|found|noted) that (?!(?:[^ ]+ )*(?:{FINITE})\b)(?:the )?[\p{{L}},]+(?: [\p{{L}},]+){{0,7}}$"
+# A last word on its own after a comma, where it is no whole word.
+LONE_TAIL = r", (?:with |as )?[\p{L}]+$"
 # Units that end an answer without a full stop.
 UNITS = "bpm mmhg mg mcg g kg ml l unit units meq mmol kpa degrees percent points breaths minute minutes hour hours day days week weeks times".split()
 # Frequent words that tell languages apart.
@@ -80,14 +92,32 @@ def _share(c: Column, script: str) -> Column:
     return F.length(F.regexp_replace(c, rf"[^{script}]", "")) / F.greatest(F.length(F.regexp_replace(c, r"[^\p{L}]", "")), F.lit(1))
 
 
-def defect_rules(pairs: DataFrame) -> DataFrame:
+def lexicon(spark: SparkSession, directory: str = TOKENIZER_DIR, file: str = LEXICON_FILE) -> DataFrame:
+    """(_end, _known, _whole): words and beginnings of words of a tokenizer that marks word ends.
+
+    ``_known`` says whether it is a word at all, ``_whole`` whether it is likely to stand for
+    itself rather than for the beginning of a longer one. The size is that of the vocabulary.
+    """
+    with open(os.path.join(directory, file), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    words = sorted({t[:-4] for t in vocab if t.endswith("</w>") and t[:-4].isalpha() and 2 <= len(t) - 4 <= LONGEST})
+    known, rows = set(words), []
+    for w in words:
+        longer = bisect_left(words, w + "\uffff") - bisect_left(words, w) - 1
+        common = len(w) >= 4 and vocab[w + "</w>"] < COMMON and vocab.get(w, 1 << 30) > vocab[w + "</w>"]
+        rows.append((w, True, len(w) >= WHOLE_LENGTH or (len(w) >= 4 and longer <= FEW_LONGER) or common))
+    rows += [(w, True, True) for w in sorted(set(ENTITIES) - known)]
+    known |= set(ENTITIES)
+    begins = {w[:k] for w in words for k in range(2, len(w))} - known
+    columns = zip(*rows, *((w, False, False) for w in sorted(begins)))
+    return spark.createDataFrame(pa.Table.from_pydict(dict(zip(("_end", "_known", "_whole"), map(list, columns)))))
+
+
+def defect_rules(pairs: DataFrame, directory: str = TOKENIZER_DIR, file: str = LEXICON_FILE) -> DataFrame:
     """``pairs`` rows with ``defects``, every triggered type in order of priority."""
     rows = pairs.withColumn("_a", plain_text(F.coalesce("answer", F.lit("")))).withColumn("_q", plain_text(F.coalesce("question", F.lit(""))))
     bare = F.regexp_replace("_a", r"(?U)[^\p{L}\p{N}]+", "")
-    brief = F.when(F.length("_a") <= BRIEF, F.col("_a")).otherwise("")
-    core = F.regexp_replace(brief, r"^[\s\"'(*_.:-]+|[\s\"').:!*_-]+$", "")
-    long = F.col("_a").rlike(rf"^[\s\"'(*_.:-]*+{OPEN_PLACEHOLDERS}$")
-    empty = (bare == "") | long | core.rlike(rf"^{PLACEHOLDERS}$") | brief.rlike(rf"^{PLACEHOLDERS}[.:]?$")
+    empty = (bare == "") | F.btrim("_a", F.lit(MARKS)).rlike(rf"^{PLACEHOLDERS}$") | F.col("_a").rlike(rf"^{PLACEHOLDERS}[.:]?$")
 
     rows = rows.withColumn("_qt", content_tokens(F.col("question"))).withColumn("_at", content_tokens(F.col("answer"))).withColumn("_aw", _words(F.col("_a"))).withColumn("_qw", _words(F.col("_q")))
     shared = F.size(F.array_intersect("_qt", "_at"))
@@ -103,9 +133,13 @@ def defect_rules(pairs: DataFrame) -> DataFrame:
     opened = F.length(F.regexp_replace(end, r"[^(\[]", "")) > F.length(F.regexp_replace(end, r"[^)\]]", ""))
     dangling = end.rlike(r"[,;:(–—-]$")
     number_end = F.col("_a").rlike(r"\b(?:received|between|(?:increased|rose|fell|decreased|dropped|went|changed) from|from|until) \d+[.,]?$") & ~F.col("_a").rlike(r"\bfrom [\d.,]+ .*\bto [\d.,]+[.,]?$")
-    clause = F.col("_a").rlike(CLAUSES) & (F.size("_aw") >= 3)
-    rows = rows.withColumn("_open", ~stopped & (F.size("_aw") > 0)).withColumn("_last", last)
-    truncated = (F.col("_open") & (dangling | F.col("_last").isin(*sorted(set(OPEN_ENDS))) | clause | F.coalesce(F.col("_unknown"), F.lit(False)))) | opened | (number_end & (F.size("_aw") > 2))
+    rows = rows.withColumn("_open", ~stopped & (F.size("_aw") > 1)).withColumn("_last", last).withColumn("_end", F.when(F.col("_open") & F.col("_a").rlike(r"(?U)(?:^|\s)\p{L}+$") & ~last.isin(*UNITS), last))
+    rows = rows.join(F.broadcast(lexicon(pairs.sparkSession, directory, file)), "_end", "left")
+    before = F.concat("_qw", F.expr("slice(_aw, 1, greatest(size(_aw) - 1, 0))"))
+    fragment = F.coalesce(~F.col("_known"), F.lit(False)) & ~F.array_contains(before, F.col("_last"))
+    clause = (F.col("_a").rlike(CLAUSES) | F.col("_a").rlike(f"(?U){LONE_TAIL}")) & (F.size("_aw") >= 3) & F.col("_end").isNotNull() & ~F.coalesce(F.col("_whole"), F.lit(False))
+    clause = clause | F.col("_a").rlike(f"(?U){BARE_SUBJECT}")
+    truncated = (F.col("_open") & (F.col("_last").isin(*sorted(set(OPEN_ENDS))) | clause | fragment)) | (~stopped & dangling & (F.size("_aw") > 0)) | opened | (number_end & (F.size("_aw") > 2))
 
     q_scores, a_scores = _language_scores(F.col("_qw")), _language_scores(F.col("_aw"))
     langs = list(LANGUAGES)
@@ -119,32 +153,11 @@ def defect_rules(pairs: DataFrame) -> DataFrame:
         other_script = other_script | ((_share(F.col("_a"), script) > 0.5) & (_share(F.col("_q"), script) < 0.1))
     language = (foreign | other_script) & (F.col("_q") != "")
 
-    unknown = _cut_words(rows).select(F.col("word").alias("_end"), F.lit(True).alias("_unknown"))
-    rows = rows.join(unknown, (rows["_last"] == unknown["_end"]) & rows["_open"], "left")
     rules = {"empty": empty, "copied_question": copied & ~empty, "refusal": refusal & ~empty, "truncated": truncated & ~empty, "other_language": language & ~empty}
     defects = F.filter(F.array(*[F.when(F.coalesce(rules[k], F.lit(False)), F.lit(k)) for k in ORDER]), lambda x: x.isNotNull())
     return rows.withColumn("defects", defects).select(*pairs.columns, "defects")
 
 
-def _cut_words(rows: DataFrame) -> DataFrame:
-    """(word) that end open answers and are fragments.
-
-    A word stands whole before the last word of an answer, at the end of a closed answer or
-    anywhere in a question.
-    """
-    ends = rows.where((F.length("_last") > 1) & F.col("_open") & F.col("_a").rlike(r"(?U)(?:^|\s)\p{L}+\s*$") & ~F.col("_last").isin(*UNITS))
-    ends = ends.groupBy(F.col("_last").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    inner = F.expr("CASE WHEN _open THEN slice(_aw, 1, greatest(size(_aw) - 1, 0)) ELSE _aw END")
-    whole = rows.select(F.explode(F.array_distinct(F.concat("_qw", inner))).alias("word")).where("length(word) > 1").groupBy("word").agg(F.count(F.lit(1)).alias("whole"))
-    begins = F.explode(F.transform(F.sequence(F.lit(2), F.least(F.length("word") - 1, F.lit(LONGEST))), lambda k: F.substring(F.col("word"), F.lit(1), k)))
-    longer = whole.where("length(word) > 2").select(begins.alias("word"), "whole").groupBy("word").agg(F.sum("whole").alias("longer"))
-    counts = ends.join(whole, "word", "left").join(longer, "word", "left").fillna(0, ["whole", "longer"]).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("all"))))
-    texts, habit = F.col("n") + F.col("whole"), (F.col("n") >= RECURRING[0]) & (F.col("n") >= RECURRING[1] * F.col("all"))
-    rare = (F.col("whole") <= WHOLE * texts) & ~habit
-    begun = (F.col("whole") <= PREFIX * texts) & (F.col("longer") > F.col("n"))
-    return counts.where(rare | begun).select("word")
-
-
 def unusable_answers(pairs: DataFrame) -> DataFrame:
     """(qa_id, defect): the first type of every defective pair."""
     return defect_rules(pairs.select(F.col("qa_id").cast("bigint").alias("qa_id"), "question", "answer")).where("size(defects) > 0").select("qa_id", F.get("defects", F.lit(0)).alias("defect")).distinct()
