@@ -4,9 +4,11 @@ A cut costs by what it cuts: nothing at a section end, a little at a paragraph o
 more at a sentence end, most inside a sentence; uneven pieces cost the square of their
 distance from the even size. The programme runs over the boundary positions of one record
 and finds the cheapest chain of cuts whose pieces, overlap included, stay within the limit.
-Consecutive pieces share exactly the overlap.
+Consecutive pieces share exactly the overlap. Cuts lie further apart than the overlap, so
+that only neighbours share text; where the limit leaves no room for that (an overlap of
+about half of it or more) they only have to move on.
 
-Defined results for odd input: null or small fields give no piece rows (``all_records`` cuts
+Defined results for odd input: an overlap that isn't smaller than the limit is an error; null or small fields give no piece rows (``all_records`` cuts
 nothing for them); null entries of an events array are left out before counting; a text
 without any boundary is cut at words, failing that anywhere; repeated records are cut each
 under their own record_id; an empty table gives empty tables; extra columns are ignored.
@@ -37,48 +39,50 @@ _PIECES = "array<struct<piece_no:int,start:int,stop:int,boundary:string>>"
 _NAMES = {SECTION: "section", PARAGRAPH: "paragraph", SENTENCE: "sentence", WORD: "word", HARD: "anywhere"}
 
 
-def text_boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions after which a cut may fall, and what each cut costs; the cheapest kind wins a tie."""
+def text_boundaries(text: str, step: int = TEXT_LIMIT - TEXT_OVERLAP) -> tuple[np.ndarray, np.ndarray]:
+    """Positions after which a cut may fall, and what each cut costs; the cheapest kind wins a tie.
+
+    No two positions are further apart than ``step``, what a piece adds to the one before it.
+    """
     cost: dict[int, float] = {}
     for pattern, price in ((_HEADING, SECTION), (_PARAGRAPH, PARAGRAPH), (_LINE, SENTENCE), (_SENTENCE, SENTENCE)):
         for m in pattern.finditer(text):
             cost[m.end()] = min(price, cost.get(m.end(), HARD))
     n = len(text)
+    long, apart = max(1, min(400, step // 4)), max(1, min(200, step // 8))
     known = np.array(sorted({0, n, *cost}))
     for a, b in zip(known[:-1], known[1:]):
-        if b - a > 400:  # long stretches get word ends, and if need be plain positions
+        if b - a > long:  # long stretches get word ends, and if need be plain positions
             words = [int(a) + m.end() for m in _WORD.finditer(text[a:b])]
             for p in words:
                 cost.setdefault(p, WORD)
             stops = [int(a), *words, int(b)]
             for c, e in zip(stops[:-1], stops[1:]):
-                for p in range(c + 200, e, 200):
-                    cost.setdefault(p, HARD)
+                if e - c > apart:
+                    for p in range(c + apart, e, apart):
+                        cost.setdefault(p, HARD)
     at = np.array(sorted(p for p in cost if 0 < p < n), dtype=np.int64)
     return at, np.array([cost[p] for p in at.tolist()], dtype=float)
 
 
-def best_cuts(n: int, at: np.ndarray, cost: np.ndarray, limit: int, overlap: int) -> list[tuple[int, float]]:
-    """Cheapest chain of cut positions over 0..n; every piece with its overlap is within ``limit``."""
-    if n <= limit:
-        return []
+def _chain(ends: np.ndarray, price: np.ndarray, limit: int, overlap: int, apart: int, even: float) -> list[tuple[int, float]] | None:
+    """Cheapest chain of cuts more than ``apart`` from each other, none if there isn't any."""
     step = limit - overlap
-    even = n / max(2, -(-(n - overlap) // step))
-    ends, price = np.append(at, n), np.append(cost, 0.0)
     best = np.full(len(ends), np.inf)
     prev = np.full(len(ends), -1)
+    first = int(np.searchsorted(ends, overlap + 1, side="left"))
     for k in range(len(ends)):
         e = ends[k]
         if e <= limit:
             best[k] = price[k] + EVENNESS * ((e - even) / even) ** 2
-        lo, hi = np.searchsorted(ends, e - step, side="left"), np.searchsorted(ends, e - overlap, side="left")
-        lo = max(lo, int(np.searchsorted(ends, overlap + 1, side="left")))
-        if lo < min(hi, k):
-            hi = min(hi, k)
+        lo, hi = max(first, int(np.searchsorted(ends, e - step, side="left"))), min(k, int(np.searchsorted(ends, e - apart, side="left")))
+        if lo < hi:
             total = best[lo:hi] + price[k] + EVENNESS * ((e - ends[lo:hi] - even) / even) ** 2
             j = int(np.argmin(total))
             if total[j] < best[k]:
                 best[k], prev[k] = total[j], lo + j
+    if not np.isfinite(best[-1]):
+        return None
     chain, k = [], len(ends) - 1
     while k >= 0:
         chain.append((int(ends[k]), float(price[k])))
@@ -86,9 +90,26 @@ def best_cuts(n: int, at: np.ndarray, cost: np.ndarray, limit: int, overlap: int
     return chain[::-1]
 
 
+def best_cuts(n: int, at: np.ndarray, cost: np.ndarray, limit: int, overlap: int) -> list[tuple[int, float]]:
+    """Cheapest chain of cut positions over 0..n; every piece with its overlap is within ``limit``."""
+    if not 0 <= overlap < limit:
+        raise ValueError(f"an overlap of {overlap} doesn't fit a limit of {limit}")
+    if n <= limit:
+        return []
+    even = n / max(2, -(-(n - overlap) // (limit - overlap)))
+    ends, price = np.append(at, n), np.append(cost, 0.0)
+    for apart in (overlap, 0):
+        chain = _chain(ends, price, limit, overlap, apart, even)
+        if chain is not None:
+            return chain
+    raise ValueError("the boundaries lie too far apart for the limit")
+
+
 def cut_text(text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP) -> list[tuple[int, int, int, str]]:
     """(piece_no, start, stop, boundary) of the pieces of ``text``, in code points."""
-    at, cost = text_boundaries(text)
+    if not 0 <= overlap < limit:
+        raise ValueError(f"an overlap of {overlap} doesn't fit a limit of {limit}")
+    at, cost = text_boundaries(text, limit - overlap)
     cuts = best_cuts(len(text), at, cost, limit, overlap)
     starts = [0, *[c - overlap for c, _ in cuts[:-1]]]
     return [(i, s, c, "end" if c == len(text) else _NAMES[p]) for i, (s, (c, p)) in enumerate(zip(starts, cuts))]
