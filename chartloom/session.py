@@ -71,25 +71,22 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception as e:  # the session may be gone already
-        LOG.warning("could not remove %s: %s", path, e)
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, cutting its lineage.
 
     Unlike a cache this survives the loss of executors. ``release`` removes the files when
-    the table is no longer read; what is left goes when the process ends.
+    the table is no longer read; what is left goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chartloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
@@ -99,7 +96,9 @@ def release(df: DataFrame) -> None:
     """Remove the files of a materialised table that nothing reads any more."""
     path = getattr(df, "_written", None)
     if path:
-        _delete(df.sparkSession, path)
+        files, target = _file_system(df.sparkSession, path)
+        if not files.delete(target, True):
+            LOG.warning("could not remove %s", path)
 
 
 def broadcast_checked(df: DataFrame, name: str, rows: int) -> DataFrame:
