@@ -24,6 +24,7 @@ import random
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chartloom.llm.bpe import TOKENIZER_DIR, TOKENIZER_FILE, count_tokens
 from chartloom.session import materialise
@@ -130,7 +131,8 @@ def mixture(documents: DataFrame, targets: DataFrame, directory: str = TOKENIZER
     sized, goals = plan_repeats(documents, targets, directory, file)
     whole = F.floor(F.col("repeats") + 1e-9).cast("int")
     rows = sized.join(F.broadcast(goals.where("repeats > 0").select("source", "repeats")), "source").withColumn("base", whole).withColumn("p", F.greatest(F.col("repeats") - whole, F.lit(0.0)))
-    rows = rows.withColumn("copy", F.monotonically_increasing_id())
+    # Repeated rows of a document are told apart by a counter, so the sample doesn't depend on the partitioning.
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("n_tokens")).cast("bigint"))
     counts = {r.source: max(1, math.ceil(r.n_docs / BLOCK)) for r in goals.select("source", "n_docs").collect()}
     blocks = F.create_map(*[F.lit(x) for kv in (counts or {"": 1}).items() for x in kv])
     rows = materialise(rows, "mix-rows")
@@ -146,8 +148,8 @@ def mixture(documents: DataFrame, targets: DataFrame, directory: str = TOKENIZER
         counts = {s: max(1, math.ceil(2 * n / BLOCK)) for s, n in counts.items()}
         blocks = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])
         undecided = flown.where(f"p > {EPS} AND p < 1 - {EPS}").withColumn("block", F.pmod(F.xxhash64("doc_id", "copy", F.lit(len(counts))), F.element_at(blocks, F.col("source"))).cast("int"))
-    chosen = settled.where("p > 0.5").select("copy", F.lit(1).alias("extra"))
-    used = rows.join(chosen, "copy", "left").withColumn("n_uses", F.col("base") + F.coalesce("extra", F.lit(0))).where("n_uses > 0")
+    chosen = settled.where("p > 0.5").select("doc_id", "source", "copy", F.lit(1).alias("extra"))
+    used = rows.join(chosen, ["doc_id", "source", "copy"], "left").withColumn("n_uses", F.col("base") + F.coalesce("extra", F.lit(0))).where("n_uses > 0")
     return used.select("doc_id", "source", "n_tokens", "n_uses"), goals
 
 

@@ -7,7 +7,8 @@ starting from a hashed assignment, moves and exchanges of components reduce the
 sizes and label counts from the targets under an annealing schedule, from several seeds at
 once in every block of components, and the best of each block is kept. The few components
 larger than a thousandth of all rows (at most a thousand by that bound) are placed first,
-against the targets of the whole; the blocks share out what is left.
+against the targets of the whole; the blocks share out what is left. In a table of up to a
+thousand rows that makes every component of more than one row a large one, by the same rule.
 
 Defined results for odd input: a row without subject follows its stay, a row without either
 stands alone; a split with share zero gets no rows if there is another; ties are broken by
@@ -25,13 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.session import materialise
+from chartloom.session import materialise, release
 
 LABELS = ["easy", "medium", "hard", "unknown"]
 BLOCK = 2000  # components annealed together
 SEEDS = 4
-STEPS = 6000
+STEPS = 20  # moves and exchanges tried for every component of a block
 LARGE = 1000  # a component with more than 1/LARGE of all rows is placed first
+TARGETS = 1000  # splits that may be named
 
 
 def linked_subjects(pairs: DataFrame) -> DataFrame:
@@ -48,7 +50,8 @@ def linked_subjects(pairs: DataFrame) -> DataFrame:
         # Small star: smaller neighbours and the node itself hang on the least of them.
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
-        edges = materialise(small, "links")
+        last, edges = edges, materialise(small, "links")
+        release(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -64,6 +67,14 @@ def linked_pairs(pairs: DataFrame) -> DataFrame:
     return a.join(b, "component").where("subject_a < subject_b").select("subject_a", "subject_b")
 
 
+def component_links(pairs: DataFrame) -> DataFrame:
+    """(subject_id, component): pairs of a representative - the least subject - and each other member.
+
+    As many rows as linked subjects, where ``linked_pairs`` grows with the square of a component.
+    """
+    return linked_subjects(pairs).where("subject_id <> component")
+
+
 def row_components(pairs: DataFrame) -> DataFrame:
     """(qa_id, component, label): component is a text key of the rows that stay together."""
     rows = pairs.select(
@@ -88,7 +99,11 @@ def _start(key: str, shares: list[float], seed: int) -> int:
 
 
 def anneal(keys: list[str], counts: list[list[int]], targets: list[list[float]], seed: int, steps: int = STEPS) -> tuple[float, list[int]]:
-    """Deviation and split of each component; counts and targets hold the size, then the labels."""
+    """Deviation and split of each component; counts and targets hold the size, then the labels.
+
+    ``steps`` moves or exchanges a component are tried while the heat falls to a thousandth
+    of a component's share, whatever their number.
+    """
     n, k, width = len(keys), len(targets), len(targets[0]) if targets else 0
     total = max(1.0, sum(c[0] for c in counts))
     shares = [t[0] / max(1e-9, sum(x[0] for x in targets)) for t in targets]
@@ -105,9 +120,11 @@ def anneal(keys: list[str], counts: list[list[int]], targets: list[list[float]],
     cost = sum(off(s, now[s]) for s in range(k))
     best, kept = cost, place[:]
     rng = random.Random(f"{seed}|{n}|{keys[0] if keys else ''}")
-    heat = 0.05
-    for _ in range(steps if n and k > 1 else 0):
-        heat *= 0.9985
+    tries = steps * n if k > 1 else 0
+    heat, cold = 0.05, 0.001 / max(1, n)
+    cooling = (cold / heat) ** (1 / max(1, tries))
+    for _ in range(tries):
+        heat *= cooling
         i = rng.randrange(n)
         a = place[i]
         if rng.random() < 0.5 and n > 1:
@@ -136,7 +153,10 @@ def anneal(keys: list[str], counts: list[list[int]], targets: list[list[float]],
 def assign_splits(pairs: DataFrame, targets: DataFrame) -> DataFrame:
     """(qa_id, component, split) of every row."""
     spark = pairs.sparkSession
-    goal = sorted((r.split, max(0.0, r.target_share or 0.0)) for r in targets.where("split IS NOT NULL").select("split", "target_share").limit(1000).collect())
+    rows = targets.where("split IS NOT NULL").select("split", "target_share").limit(TARGETS + 1).collect()
+    if len(rows) > TARGETS:
+        raise ValueError(f"more than {TARGETS} split targets")
+    goal = sorted((r.split, max(0.0, r.target_share or 0.0)) for r in rows)
     names, shares = [g[0] for g in goal], [g[1] for g in goal]
     if not names or sum(shares) <= 0:
         raise ValueError("split targets need a positive share")
@@ -146,10 +166,10 @@ def assign_splits(pairs: DataFrame, targets: DataFrame) -> DataFrame:
     sizes = materialise(sizes, "split-sizes")
     width = ["n", *LABELS]
     whole = sizes.agg(F.count(F.lit(1)).alias("components"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in width]).first()
-    bound = max(1, math.ceil(whole.n / LARGE))
+    bound = math.ceil(whole.n / LARGE)  # at most LARGE components are larger
     large = sizes.where(F.col("n") > bound).collect()
     full = [[s * whole[c] for c in width] for s in shares]
-    _, place = min((anneal([r.component for r in large], [[r[c] for c in width] for r in large], full, seed, STEPS * 2) for seed in range(SEEDS)), key=lambda x: x[0])
+    _, place = min((anneal([r.component for r in large], [[r[c] for c in width] for r in large], full, seed) for seed in range(SEEDS)), key=lambda x: x[0])
     left = [[max(0.0, full[s][j] - sum(r[c] for r, p in zip(large, place) if p == s)) for j, c in enumerate(width)] for s in range(len(names))]
     left_size = max(1e-9, sum(t[0] for t in left))
     rest = [t[0] / left_size for t in left]
@@ -173,8 +193,13 @@ def assign_splits(pairs: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def split_report(pairs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows, components and shares per split against the targets."""
-    placed = assign_splits(pairs, targets).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("component").alias("n_components"))
-    total = placed.agg(F.sum("n_rows").alias("total"))
+    """Rows, components and shares per split against the targets, and how far its labels are from those of all rows."""
+    counts = [F.count_if(F.col("label") == x).alias(f"_{x}") for x in LABELS]
+    placed = assign_splits(pairs, targets).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("component").alias("n_components"), *counts)
+    total = placed.agg(F.sum("n_rows").alias("total"), *[F.sum(f"_{x}").alias(f"_all_{x}") for x in LABELS])
     joined = targets.select("split", "target_share").join(placed, "split", "left").join(F.broadcast(total))
-    return joined.select("split", "target_share", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_components", F.lit(0)).alias("n_components"), F.round(F.coalesce(F.col("n_rows") / F.col("total"), F.lit(0.0)), 6).alias("share"))
+    apart = sum((F.abs(F.col(f"_{x}") / F.col("n_rows") - F.col(f"_all_{x}") / F.col("total")) for x in LABELS), F.lit(0.0))
+    return joined.select(
+        "split", "target_share", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_components", F.lit(0)).alias("n_components"),
+        F.round(F.coalesce(F.col("n_rows") / F.col("total"), F.lit(0.0)), 6).alias("share"), F.round(F.coalesce(apart / 2, F.lit(0.0)), 6).alias("label_deviation"),
+    )

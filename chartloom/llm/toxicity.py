@@ -62,7 +62,7 @@ SURE = 1.64  # standard errors taken off the log-odds
 FIRST_ODDS, FIRST_LOW = 2.0, 1.0  # log-odds a feature of the first fit needs, plain and less ``SURE`` standard errors
 SUPPORT = 2  # occurrences in objectionable sentences a feature needs
 SHARE = 1e-5  # share of all tokens of these sentences a feature needs
-CLEAN = 0.1  # occurrences in clean documents a feature may have for each one in documents labelled otherwise
+CLEAN = 0.2  # occurrences in clean documents a feature may have for each one in documents labelled otherwise
 PURITY = 0.7  # share of a feature's occurrences that must stand in passages, second fit
 EXPECTED = 1e-3  # passages expected by chance in a document, below which one counts
 

@@ -44,18 +44,40 @@ def test_long_placeholders_are_empty(spark):
     assert not [r for r in qa_defects.unusable_answers(rows).collect() if r.qa_id >= 4 and r.defect == "empty"]
 
 
-def test_cut_words_do_not_depend_on_size(spark):
-    def flagged(rows):
-        return {r.qa_id for r in qa_defects.unusable_answers(qa_rows(spark, [{"question": ASK} | r for r in rows])).collect()}
-
-    cut, full = {"answer": "Heart rate 90 bpm, seen by the consul"}, {"answer": "Heart rate 90 bpm, drawn along a full panel"}
-    plain = [{"answer": f"It was {i} bpm after the consultant came."} for i in range(30)]
-    once = [{"answer": "The consul came at noon."}]
-    for times in (1, 10):
-        rows = [*[cut] * times, *plain * times]
-        assert flagged(rows) == flagged([*rows, *once]) == set(range(times))
-        assert not flagged([*[full] * 8 * times, *plain * times])
-        assert not flagged([*[full] * 8 * times, {"answer": "A full panel was drawn."}, *plain * times])
+WELL_FORMED = """Why was anticoagulation started?|Warfarin because of atrial fibrillation
+Which drug was stopped?|Metformin, which had raised lactate
+Which antibiotic was given?|Ceftriaxone
+What caused the fever?|Community acquired pneumonia
+What should the patient do?|Ask your doctor before stopping aspirin.
+Which form was signed?|The Datenschutz form was signed on admission.
+Where did she go?|To the rehabilitation unit
+What was found?|A small pleural effusion on the left
+Who was called?|The on-call surgeon
+What did the scan show?|No acute intracranial haemorrhage
+What were the allergies?|Penicillin and sulfa drugs
+When was it removed?|On the third day after surgery
+Why was he transferred?|Worsening respiratory failure despite high-flow oxygen
+What was the outcome?|She improved and was discharged home on oral antibiotics
+What was the trend?|It rose steadily after the transfusion
+What was seen on the echo?|Moderately reduced ejection fraction
+Was the culture positive?|Yes, for Klebsiella
+Which drug?|Levothyroxine 25 mcg p.o. daily
+What was the reason?|Dehydration due to vomiting
+Wie hoch war der Wert?|Der Wert lag bei 5.1 mmol/L
+Which vitamin was started?|Cholecalciferol 400 UNIT once daily""".splitlines()
+
+
+def test_well_formed_answers_are_no_cases(spark):
+    rows = qa_rows(spark, [dict(zip(("question", "answer"), x.split("|"))) for x in WELL_FORMED])
+    assert qa_defects.unusable_answers(rows).collect() == []
+
+
+def test_verdicts_come_from_the_row_alone(spark):
+    cut = ["It was 90 bpm, because the electronic prescription remained unv", "Seen by the anaesthetic consu", "9.1 mg/dL, which prompted a multidisciplinary disc", "90 bpm, drawn along a full panel", "Given by the pharmacist"]
+    rows = qa_rows(spark, [{"question": ASK, "answer": a} for a in cut])
+    alone = {i: [r.defect for r in qa_defects.unusable_answers(rows.where(f"qa_id = {i}")).collect()] for i in range(len(cut))}
+    together = {r.qa_id: r.defect for r in qa_defects.unusable_answers(rows.unionByName(qa_rows(spark, [{"qa_id": 100 + i, "question": ASK, "answer": "The consu and the unv disc panel came."} for i in range(50)]))).collect() if r.qa_id < 100}
+    assert alone == {0: ["truncated"], 1: ["truncated"], 2: ["truncated"], 3: [], 4: []} and together == {0: "truncated", 1: "truncated", 2: "truncated"}
 
 
 # ---- splits --------------------------------------------------------------------------------
@@ -106,6 +128,17 @@ def test_anneal_beats_its_start():
     assert best <= start and best < 0.02 and set(place) == {0, 1}
 
 
+def test_too_many_targets_are_refused(spark):
+    targets = spark.range(splits.TARGETS + 1).selectExpr("CAST(id AS string) AS split", "0.1D AS target_share")
+    with pytest.raises(ValueError, match="split targets"):
+        splits.assign_splits(qa_rows(spark, [{}]), targets)
+
+
+def test_component_links_name_every_member_once(spark):
+    rows = [{"subject_id": s, "hadm_id": h} for s, h in [(1, 10), (2, 10), (2, 11), (3, 11), (8, 12), (9, 12), (5, 13)]]
+    assert sorted(tuple(r) for r in splits.component_links(qa_rows(spark, rows)).collect()) == [(2, 1), (3, 1), (9, 8)]
+
+
 # ---- overlaps ------------------------------------------------------------------------------
 
 
@@ -133,10 +166,53 @@ def test_coverage_rejects_nothing_the_comparison_accepts(spark):
 def test_overlap_shards_lose_nothing(spark, monkeypatch):
     rows = [{"subject_id": 1, "question": f"What caused the {w} drop?", "split": s} for w in ("alpha", "bravo", "charlie", "delta", "echoes") for s in ("train", "test")]
     whole = overlaps.overlapping_pairs(qa_rows(spark, rows)).count()
-    monkeypatch.setattr(overlaps, "SHARD", 2)
+    monkeypatch.setattr(overlaps, "EVAL_SHARD", 2)
+    monkeypatch.setattr(overlaps, "TRAIN_SHARD", 2)
     assert overlaps.overlapping_pairs(qa_rows(spark, rows)).count() == whole == 5
 
 
+def test_forms_that_ask_the_same_share_a_passage():
+    rng = random.Random(8)
+    words = "glucose highest lowest anticoagulation held procedure ward dose heparin walk discharge allergy reason valu whch fever ct".split()
+
+    def slip(w):
+        i, kind = rng.randrange(len(w)), rng.randrange(4)
+        return [w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]][kind]
+
+    same = 0
+    for _ in range(6000):
+        a = rng.sample(words, rng.randint(1, 16))
+        b = list(a)
+        for _ in range(rng.randint(0, 2)):
+            side = rng.choice([a, b])
+            i = rng.randrange(len(side))
+            side[i] = slip(side[i])
+            if rng.random() < 0.2:
+                side.append(slip(rng.choice(["value", "when", "what"])))
+        a, b = (sorted({w for w in x if w}) for x in (a, b))
+        if overlaps.same_question(a, b):
+            same += 1
+            assert set(overlaps.passages(a)) & set(overlaps.passages(b))
+    assert same > 3000 and len(overlaps.passages([f"w{i}" for i in range(2000)])) == 5
+
+
+def test_no_visit_without_a_matched_passage(monkeypatch):
+    """10,000 forms of each split under one key: only those that share a passage are compared."""
+    import pyarrow as pa
+
+    visits = []
+    exact = overlaps.same_question
+    monkeypatch.setattr(overlaps, "same_question", lambda a, b: visits.append((a, b)) or exact(a, b))
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    held, train = [f"{word()} {word()} {word()}" for _ in range(10_000)], [f"{word()} {word()} {word()}" for _ in range(10_000)]
+    train[5] = " ".join(sorted(["x" + held[7].split()[0][1:], *held[7].split()[1:]]))
+    rows = [(1, "", 0, 0, f, 0) for f in held] + [(1, "", 0, 0, f, 1) for f in train]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("subject_id", "numbers", "part", "stream", "form", "role"), r)) for r in rows])
+    found = [r for out in overlaps._scan(iter([batch])) for r in out.to_pylist()]
+    assert (held[7], train[5]) in {(r["eval_form"], r["train_form"]) for r in found} and len(visits) < 10_000
+
+
 @pytest.mark.parametrize(("a", "b", "same"), [("heart", "haert", True), ("heart", "hert", True), ("heart", "heaart", True), ("heart", "heert", True), ("heart", "hurt", False), ("highest", "lowest", False)])
 def test_one_slip(a, b, same):
     assert overlaps.one_slip(a, b) is same and overlaps.one_slip(b, a) is same
@@ -149,6 +225,26 @@ def test_turns_hold_no_deciding_word():
 # ---- pieces --------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize(("limit", "overlap", "n"), [(100, 20, 350), (200, 20, 399), (100, 99, 350), (50, 25, 300), (10, 3, 100), (2, 1, 9)])
+def test_every_limit_is_kept(limit, overlap, n):
+    rng = random.Random(n)
+    for text in ("x" * n, ("word and more. " * n)[:n], "".join(rng.choice("ab c.\n") for _ in range(n))):
+        cut = pieces.cut_text(text, limit, overlap)
+        assert cut[0][1] == 0 and cut[-1][2] == n and all(0 < stop - start <= limit for _, start, stop, _ in cut)
+        assert all(a[2] - b[1] == overlap for a, b in zip(cut, cut[1:]))
+
+
+@pytest.mark.parametrize("overlap", [0, 10, 15, 19])
+def test_every_event_limit_is_kept(overlap):
+    cut = pieces.cut_days([str(i // 7) for i in range(40)], 20, overlap)
+    assert cut[-1][2] == 40 and all(b - a <= 20 for _, a, b, _ in cut)
+
+
+def test_overlap_has_to_fit():
+    with pytest.raises(ValueError, match="overlap"):
+        pieces.cut_text("x" * 30, 10, 10)
+
+
 @pytest.mark.parametrize("text", ["x" * 20_001, "Word and word. " * 900, "A:\n" + "line of text\n" * 1200 + "Plan:\n" + "more\n\n" * 900, " " * 7000, "é🙂 " * 4000])
 def test_text_pieces_cover_within_limit(text):
     cut = pieces.cut_text(text)
@@ -279,22 +375,75 @@ def test_disguises():
     assert words("b@$t@rd") == ["bastard"] and words("1d10t") == ["idiot"] and words("m o r o n") == ["moron"] and words("p.i.g") == ["pig"] and words("f**k you 12.5 mg") == ["f**k", "you", "#", ".", "#", "mg"]
 
 
+def test_letters_kept_apart_are_joined_with_their_neighbours():
+    scorer = toxicity.Scorer({"fucking_idiot": (3.0, -1.2, -1.2), "drop_dead": (3.0, -1.2, -1.2), "scumbag": (3.0, -1.2, -1.2)})
+    plain = lambda t: scorer.plain(toxicity.tokens_of(t))
+    assert plain("f u c king idiot") == ["fucking", "idiot"] and plain("d r o p d e a d now")[:2] == ["drop", "dead"] and plain("scum b a g") == ["scumbag"] and plain("sc*m**g") == ["scumbag"]
+    assert plain("a b c de") == ["abc", "de"]
+
+
 def test_a_passage_may_have_two_categories():
-    strong = toxicity.Scorer({"vermin": (90.0, 80.0, -5.0)}, (1.0, 1.0, 1.0))
+    strong = toxicity.Scorer({"vermin": (90.0, 80.0, -5.0)})
     assert {x[0] for x in strong.segments(["vermin"])} == {0, 1}
 
 
-def test_toxic_documents(spark):
-    calm = ["The patient walked today. No fever overnight.", "Genital exam deferred; breast exam without masses.", "Was rude this morning but apologised.", "She worries that immigrants like herself wait longer."]
-    bad = [("You stupid asshole, go to hell.", "abusive"), ("What kind of useless b1tch runs this place?", "abusive"), ("People like that are vermin and parasites.", "hateful"), ("I want you naked in my bed tonight, I love your tits.", "sexual"), ("Shut up, you m o r o n.", "abusive")]
-    rows = [(i, calm[i % 4], "ward", "x") for i in range(200)] + [(1000 + i, calm[0] + " " + t, "portal", "x") for i, (t, _) in enumerate(bad)] + [(2000, None, "w", "x"), (2001, "", None, "x"), (2002, calm[0] * 3000 + bad[0][0], "w", "x")]
+def test_rate_solves_its_equation():
+    import math
+    from collections import Counter
+
+    mass = Counter({-1.2: 9000, 0.7: 300, 3.0: 20, 6.0: 1})
+    rate = toxicity.solved_rate(mass)
+    assert abs(sum(n * math.exp(rate * s) for s, n in mass.items()) / sum(mass.values()) - 1) < 1e-6
+    assert toxicity.solved_rate(Counter({-1.0: 1, 2.0: 5})) < 1e-3
+
+
+def toxic_tables(spark, n=3000):
+    """Calm notes with a few objectionable sentences, a third of them labelled, some of these wrongly."""
+    rng = random.Random(12)
+    calm = ["The patient walked {} metres today.", "No fever overnight.", "Genital exam deferred; breast exam without masses.", "Was rude this morning but apologised.", "She worries that immigrants like herself wait longer.", "Slept {} hours and ate half of each meal.", "The wound is dry and clean."]
+    worst = {
+        "abusive": ["You stupid {} go to hell.", "What kind of useless {} runs this place?", "Shut up you {} and get out."], "hateful": ["People like that are {} and parasites.", "Send those {} people back where they came from."],
+        "sexual": ["I want you naked in my {} tonight.", "Show me your {} and I will pay."],
+    }
+    fill = {"abusive": ["asshole", "m o r o n", "b1tch", "moron", "bitch"], "hateful": ["vermin", "f1lthy", "filthy", "rats"], "sexual": ["bed", "t1ts", "tits"]}
+    rows, labels, truth = [], [], set()
+    for i in range(n):
+        text = [rng.choice(calm).format(rng.randint(1, 30)) for _ in range(rng.randint(2, 6))]
+        kind = None
+        if i % 15 == 0:
+            kind = list(worst)[i // 15 % 3]
+            text.insert(rng.randrange(len(text)), rng.choice(worst[kind]).format(rng.choice(fill[kind])))
+            truth.add((i, kind))
+        rows.append((i, " ".join(text), "portal" if kind else "ward", "x"))
+        if i % (3 if kind is None else 2) == 0:
+            labels.append((i, "r", kind or "clean") if rng.random() > 0.02 else (i, "r", "clean"))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, abusive string")
-    labels = spark.createDataFrame([(i, "r", "clean") for i in range(100)] + [(1000, "r", "abusive"), (1000, "q", "clean"), (5, "r", "odd"), (None, "r", None)], "doc_id bigint, reviewer string, label string")
-    got = {tuple(r) for r in toxicity.flagged_documents(docs, labels).collect()}
-    assert got == {(1000 + i, c) for i, (_, c) in enumerate(bad)} | {(2002, "abusive")}
-    assert toxicity.flagged_documents(docs.limit(0), labels.limit(0)).count() == 0
+    return docs, spark.createDataFrame([*labels, (None, "r", None), (5, "r", "odd")], "doc_id bigint, reviewer string, label string"), truth
+
+
+def test_toxic_documents_are_learned_from_labels(spark):
+    docs, labels, truth = toxic_tables(spark)
+    more = spark.createDataFrame([(90_000, None, "w", "x"), (90_001, "", None, "x"), (90_002, "The patient walked today. " * 20_000 + "You stupid asshole go to hell.", "w", "x")], docs.schema)
+    got = {tuple(r) for r in toxicity.flagged_documents(docs.unionByName(more), labels).collect()}
+    assert (90_002, "abusive") in got
+    got = {x for x in got if x[0] < 90_000}
+    assert len(got & truth) >= 0.85 * len(truth) and len(got & truth) >= 0.95 * len(got)
     rates = {r.source: r for r in toxicity.source_rates(docs, labels).collect()}
-    assert rates["portal"].abusive_rate == 0.6 and rates["ward"].sexual_rate == 0.0
+    assert rates["portal"].abusive_rate > 0.3 and rates["ward"].sexual_rate < 0.01
+
+
+def test_toxic_documents_of_odd_tables(spark):
+    docs, labels, _ = toxic_tables(spark, 300)
+    assert toxicity.flagged_documents(docs, labels.limit(0)).count() == 0
+    assert toxicity.flagged_documents(docs.limit(0), labels).count() == 0
+    assert toxicity.score_documents(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_sentence_tables_may_start_again(spark, monkeypatch):
+    docs, labels, _ = toxic_tables(spark, 900)
+    whole = {tuple(r) for r in toxicity.label_counts(docs, toxicity.labelled(labels)).collect()}
+    monkeypatch.setattr(toxicity, "SENTENCES", 5)
+    assert {tuple(r) for r in toxicity.label_counts(docs, toxicity.labelled(labels)).collect()} == whole
 
 
 # ---- queries -------------------------------------------------------------------------------
