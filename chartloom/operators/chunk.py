@@ -35,36 +35,40 @@ def fixed_chunks(notes: DataFrame, text: str, size: int = SIZE, stride: int = ST
     return out.select(*kept, "chunk_idx", F.col("c.text").alias("chunk"), "c.section", "c.section_header", "c.position")
 
 
-def _sections(text: Column) -> Column:
-    """Array of (header, body): a header line opens a section and is its first line."""
-    lines = F.split(text, "\n")
-    empty = F.array().cast("array<struct<header:string,body:string>>")
-    start = F.array(F.struct(F.lit("preamble").alias("header"), F.lit(None).cast("string").alias("body")))
+def _with_sections(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with _s, an array of (header, body): a header line opens a section and is its first line.
 
-    def add(acc: Column, line: Column) -> Column:
-        is_header = line.rlike(HEADER_LINE)
-        last = F.element_at(acc, -1)
-        opened = F.concat(acc, F.array(F.struct(strip_blank(line).alias("header"), line.alias("body"))))
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["header"].alias("header"), F.concat_ws("\n", last["body"], line).alias("body"))))
-        return F.when(is_header, opened).otherwise(grown)
+    Lines are split once, header positions found once, and bodies sliced out between them, so
+    the work is linear in the note.
+    """
+    rows = rows.withColumn("_lines", F.split(text, "\n"))
+    at = F.filter(F.transform("_lines", lambda line, i: F.when(line.rlike(HEADER_LINE), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_at", F.concat(F.array(F.lit(0)), at)).withColumn("_to", F.concat(at, F.array(F.size("_lines"))))
+
+    def section(k: Column) -> Column:
+        start, stop = F.get("_at", k), F.get("_to", k)
+        header = F.when(k == 0, F.lit("preamble")).otherwise(strip_blank(F.get("_lines", start)))
+        return F.struct(header.alias("header"), F.array_join(F.slice("_lines", start + 1, stop - start), "\n").alias("body"))
 
-    return F.filter(F.coalesce(F.aggregate(lines, start.cast("array<struct<header:string,body:string>>"), add), empty), lambda s: strip_blank(F.coalesce(s["body"], F.lit(""))) != "")
+    every = F.transform(F.sequence(F.lit(0), F.size("_at") - 1), section)
+    return rows.withColumn("_s", F.filter(every, lambda s: strip_blank(s["body"]) != "")).drop("_lines", "_at", "_to")
 
 
 def section_lines(notes: DataFrame, key: str, text: str) -> DataFrame:
     """(key, section_no, header, section, body) of every non-empty section.
 
-    The lines of a note are folded in order inside its own row, so nothing is shuffled.
+    The lines of a note stay in its own row, so nothing is shuffled.
     """
-    s = notes.select(key, F.posexplode_outer(_sections(F.coalesce(F.col(text), F.lit("")))).alias("section_no", "s")).where("section_no IS NOT NULL")
+    rows = _with_sections(notes.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")), F.col("_text"))
+    s = rows.select(key, F.posexplode_outer("_s").alias("section_no", "s")).where("section_no IS NOT NULL")
     header = F.regexp_replace("s.header", ":$", "")
     return s.select(key, "section_no", header.alias("header"), section_of(header).alias("section"), strip_blank(F.col("s.body")).alias("body"))
 
 
 def section_chunks(notes: DataFrame, key: str, text: str) -> DataFrame:
     """(key, chunk_idx, chunk, section, section_header, position); fewer than three sections fall back to windows."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = notes.select(key, blank_tokens(body).alias("_t"), _sections(body).alias("_s"))
+    rows = notes.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = _with_sections(rows.withColumn("_t", blank_tokens(F.col("_text"))), F.col("_text"))
 
     def described(x: Column) -> Column:
         header = F.regexp_replace(x["header"], ":$", "")

@@ -25,6 +25,18 @@ def feature_names() -> list[str]:
     ]
 
 
+# Labels of the groups in reports, and how many places of the vector each takes in turn.
+GROUPS = [
+    (3, "Similarity"), (2, "Structural / Positional"), (4, "Text Signals (A)"), (4, "Temporal (B)"), (len(T.SECTIONS), "Section Identity"), (len(T.QUESTION_TYPES), "Question Type"),
+    (len(T.SECTIONS) * len(T.QUESTION_TYPES), "Section × Q-Type"), (len(CROSSED), "Signal × Q-Type (C)"), (1, "Similarity"), (1, "Structural / Positional"), (len(T.HEADER_FLAGS), "Precision (D)"),
+]
+
+
+def feature_groups() -> list[str]:
+    """The group of every place of the vector."""
+    return [group for n, group in GROUPS for _ in range(n)]
+
+
 def pair_features(pairs: DataFrame) -> DataFrame:
     """``pairs`` (question, chunk, section, section_header, position, dischtime, tfidf_sim, embed_sim) with scalar features.
 

@@ -61,10 +61,13 @@ def sample_negatives(pairs: DataFrame, keys: list[str], row_key: Column, per_pos
 def hash_split(rows: DataFrame, key: str, validation: float = 0.15, seed: int = 42) -> DataFrame:
     """(key, part): the keys in seeded order, the first ``int(n * (1 - validation))`` of them train.
 
-    The order runs over one hash per distinct key, by range partitions.
+    A key's place in the order is its place among the keys whose hash begins alike, which is
+    counted in parallel, and the number of keys in the at most 65,536 groups before.
     """
-    keys = rows.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_h", seeded(F.col(key), seed))
-    n = keys.count()
-    cut = int(n * (1 - validation))
-    train = keys.orderBy("_h").limit(cut).select(key, F.lit("train").alias("part"))
-    return keys.select(key).join(train, key, "left").select(key, F.coalesce("part", F.lit("validation")).alias("part"))
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_h", seeded(F.col(key), seed)).withColumn("_g", F.substring("_h", 1, 4))
+    groups = keys.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    groups = groups.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.floor(F.sum("_n").over(every) * (1 - validation)).alias("_cut"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_g").orderBy("_h"))
+    return keys.join(F.broadcast(groups), "_g").select(key, F.when(place <= F.col("_cut"), "train").otherwise("validation").alias("part"))

@@ -117,34 +117,53 @@ def hashed_vectors(dims: int = 64) -> Callable[[Column], Column]:
     return encode
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, blocks: int = 64) -> DataFrame:
-    """(query_id, item_id, score, rank): the k items closest to each query.
+QUERY_BLOCK = 4096  # queries that meet the items at once
 
-    The query set is broadcast in blocks of a stated size, every item meets each query once
-    and only k candidates per query and task are kept before the shuffle.
+
+def nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id, score, rank): the k items closest to each query, ties by item.
+
+    The query set is taken in blocks of about ``QUERY_BLOCK``, however many there are. A
+    block is broadcast, every item meets each of its queries once, and a task keeps no more
+    than the k best of each query.
     """
-    rows = queries.select("query_id", "embedding").limit(blocks * 4096 + 1).collect()
-    if len(rows) > blocks * 4096:
-        raise ValueError("too many queries for one pass; split the query set")
-    ids = np.array([r.query_id for r in rows], dtype=np.int64)
-    matrix = np.array([r.embedding for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding").collect()
+        if rows or found is None:
+            ids = np.array([r.query_id for r in rows], dtype=np.int64)
+            matrix = np.array([r.embedding for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
+            part = items.select("item_id", "embedding").mapInPandas(_closest(spark.sparkContext.broadcast((ids, matrix)), k), "query_id bigint, item_id bigint, score double")
+            found = part if found is None else found.unionByName(part)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
+
+def _closest(shared, k: int) -> Callable:
     def scan(batches):
-        best: dict[int, list[tuple[float, int]]] = {}
+        ids, matrix = shared.value
+        scores, own = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
         for pdf in batches:
             if not len(pdf) or not len(ids):
                 continue
-            scores = matrix @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T
-            own = pdf["item_id"].to_numpy()
-            for q in range(len(ids)):
-                order = np.lexsort((own, -scores[q]))[:k]
-                best[q] = sorted([*best.get(q, []), *[(-scores[q][i], int(own[i])) for i in order]])[:k]
-        out = [(int(ids[q]), i, -s) for q, pairs in best.items() for s, i in pairs]
-        yield pd.DataFrame(out, columns=["query_id", "item_id", "score"])
-
-    candidates = items.select("item_id", "embedding").mapInPandas(scan, "query_id bigint, item_id bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            new = matrix @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T
+            scores = np.hstack([scores, new])
+            own = np.hstack([own, np.broadcast_to(pdf["item_id"].to_numpy(), new.shape)])
+            if scores.shape[1] > k:
+                # By item first, then a stable sort by score: equal scores stay in the order of items.
+                near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                worst = np.take_along_axis(scores, near, 1).min(axis=1, keepdims=True)
+                tied = (scores >= worst).sum(axis=1) > k
+                kept_scores, kept_own = np.take_along_axis(scores, near, 1), np.take_along_axis(own, near, 1)
+                for q in np.flatnonzero(tied):  # more candidates than places: the exact order decides
+                    order = np.lexsort((own[q], -scores[q]))[:k]
+                    kept_scores[q], kept_own[q] = scores[q][order], own[q][order]
+                scores, own = kept_scores, kept_own
+        yield pd.DataFrame({"query_id": np.repeat(ids, scores.shape[1]), "item_id": own.ravel(), "score": scores.ravel()})
+
+    return scan
 
 
 def user_prompt(context: Column, question: Column) -> Column:

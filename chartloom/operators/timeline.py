@@ -111,9 +111,13 @@ def budget_counts(lines: DataFrame, keys: list[str], order: list[str], tokens: s
 def assemble(driver: DataFrame, patients: DataFrame, admissions: DataFrame, notes: DataFrame, events: DataFrame) -> DataFrame:
     """One nested record per driver row (subject_id, hadm_id, note_id): latest patient, admission and note, events sorted.
 
-    Dimensions are brought to one row per key before they are joined, and events are nested
+    Only facts of the driver's stays and subjects are taken further than a semi-join; then
+    dimensions are brought to one row per key before they are joined, and events are nested
     once per stay, so the driver is shuffled by stay only.
     """
+    subjects, stays = driver.select("subject_id").distinct(), driver.select("hadm_id").distinct()
+    patients, admissions = keep_ids(patients, subjects, "subject_id"), keep_ids(admissions, stays, "hadm_id")
+    notes, events = keep_ids(notes, stays, "hadm_id"), keep_ids(events, stays, "hadm_id")
     demo = latest_per_key(patients, ["subject_id"], ["anchor_age"]).select("subject_id", F.struct("*").alias("demographics"))
     adm = latest_per_key(admissions, ["hadm_id"], ["admittime"]).select("hadm_id", F.struct("*").alias("admission"))
     note = notes.groupBy("hadm_id").agg(F.max_by("text", F.struct("charttime", "text")).alias("discharge_summary"))

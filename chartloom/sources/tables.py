@@ -57,9 +57,13 @@ def result_key(name) -> tuple:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """All result files of a folder, keyed by file name; summaries and caches are left out, damaged files skipped."""
+    """All result files of a folder, keyed by file name; damaged files are skipped.
+
+    The files this package writes beside results, ``summary.json`` and ``rankings.json``, are
+    known by their whole name; a cache is a folder and isn't read.
+    """
     rows = spark.read.schema(schemas.RESULT).option("mode", "DROPMALFORMED").json(f"{path}/*.json", multiLine=True)
-    rows = rows.withColumn("_file", F.col("_metadata.file_name")).where("question IS NOT NULL AND NOT _file RLIKE '(summary|cache|rankings)'")
+    rows = rows.withColumn("_file", F.col("_metadata.file_name")).where("question IS NOT NULL AND _file NOT IN ('summary.json', 'rankings.json', 'judge_rankings.json')")
     model, method = result_key(F.col("_file"))
     return rows.withColumns({"model": model, "method": method}).drop("_file")
 
