@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,34 +32,66 @@ def split_cache(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     return hits, requests.join(cache, "cache_key", "left_anti")
 
 
-def answer_misses(misses: DataFrame, answer_fn: Callable[[str, str], dict], attempts: int = 5, pause: float = 2.0, longest: float = 60.0) -> DataFrame:
+def _answered(answer_fn: Callable[[str, str], dict], system: str, user: str, attempts: int, pause: float, longest: float) -> dict:
+    row = {"answer": "", "prompt_tokens": 0, "completion_tokens": 0, "error": None}
+    for attempt in range(1, attempts + 1):
+        try:
+            return row | answer_fn(system, user) | {"error": None}
+        except Retry as e:
+            row["error"] = f"gave up after {attempt} attempts: {e}"
+            if attempt < attempts:
+                time.sleep(min(longest, pause * 2 ** (attempt - 1)))
+        except Exception as e:  # a request's own error must not end the job
+            return row | {"error": f"{type(e).__name__}: {e}"}
+    return row
+
+
+def answer_misses(misses: DataFrame, answer_fn: Callable[[str, str], dict], attempts: int = 5, pause: float = 2.0, longest: float = 60.0, concurrency: int = 1) -> DataFrame:
     """``misses`` with answer, prompt_tokens, completion_tokens, cached and error.
 
     A passing error is tried again with doubled pauses; what fails in the end becomes a row
-    with its error, so no request is lost. Partitions answer independently.
+    with its error, so no request is lost. Partitions answer independently, each with up to
+    ``concurrency`` requests under way; rows keep their order.
     """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+            for pdf in batches:
+                out = list(pool.map(lambda x: _answered(answer_fn, x[0], x[1], attempts, pause, longest), zip(pdf["system_prompt"], pdf["user_prompt"])))
+                yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["answer", "prompt_tokens", "completion_tokens", "error"]).assign(cached=False)], axis=1)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in misses.schema)
+    return misses.mapInPandas(run, f"{kept}, answer string, prompt_tokens int, completion_tokens int, error string, cached boolean")
+
+
+# Fixed value: beginnings of the names of models that reason before they answer.
+REASONING = ("o1", "o3", "o4")
+
+
+def request_arguments(model: str, max_tokens: int = 4096, temperature: float = 0.3) -> dict:
+    """Sampling settings of a request: reasoning models take a limit that counts their reasoning, and no temperature."""
+    if model.startswith(REASONING):
+        return {"model": model, "max_completion_tokens": max_tokens}
+    return {"model": model, "max_tokens": max_tokens, "temperature": temperature}
+
+
+def make_runner(model: str, remote: Callable[..., Callable], local: Callable[..., Callable]) -> Callable[[str, str], dict]:
+    """The answer function of a model: names with a slash are weights to be run here, others services."""
+    return local(model) if "/" in model else remote(**request_arguments(model))
+
+
+def batched(answer_many: Callable[[list[tuple[str, str]]], list[dict]], misses: DataFrame, size: int = 4) -> DataFrame:
+    """``misses`` answered by a local model that takes ``size`` requests at once; a failed batch is an error in each of its rows."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for system, user in zip(pdf["system_prompt"], pdf["user_prompt"]):
-                row = {"answer": "", "prompt_tokens": 0, "completion_tokens": 0, "error": None}
-                for attempt in range(1, attempts + 1):
-                    try:
-                        row |= answer_fn(system, user)
-                        break
-                    except Retry as e:
-                        row["error"] = f"gave up after {attempt} attempts: {e}"
-                        if attempt < attempts:
-                            time.sleep(min(longest, pause * 2 ** (attempt - 1)))
-                    except Exception as e:  # a request's own error must not end the job
-                        row["error"] = f"{type(e).__name__}: {e}"
-                        break
-                else:
-                    row["answer"] = ""
-                if row["answer"]:
-                    row["error"] = None
-                out.append(row)
+            asked, out = list(zip(pdf["system_prompt"], pdf["user_prompt"])), []
+            for lo in range(0, len(asked), size):
+                try:
+                    said = [{"answer": "", "prompt_tokens": 0, "completion_tokens": 0, "error": None} | x for x in answer_many(asked[lo : lo + size])]
+                except Exception as e:
+                    said = [{"answer": "", "prompt_tokens": 0, "completion_tokens": 0, "error": f"{type(e).__name__}: {e}"}] * len(asked[lo : lo + size])
+                out += said
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["answer", "prompt_tokens", "completion_tokens", "error"]).assign(cached=False)], axis=1)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in misses.schema)
@@ -88,11 +121,16 @@ def judge_prompt(question: Column, gold: Column, predicted: Column) -> Column:
     return F.concat(F.lit(a), question, F.lit(b), gold, F.lit(c), predicted)
 
 
-def judge_pending(results: DataFrame, judge_fn: Callable[[str, str], dict], system: str, rescore: bool = False) -> DataFrame:
-    """Results with a judge score in every row: kept where there is one, asked for otherwise."""
+def judge_pending(results: DataFrame, judge_fn: Callable[[str, str], dict], system: str, rescore: bool = False, dry_run: bool = False) -> DataFrame:
+    """Results with a judge score in every row: kept where there is one, asked for otherwise.
+
+    ``rescore`` asks for all again; ``dry_run`` asks for none and returns the requests.
+    """
     pending = results if rescore else results.where("judge_score IS NULL")
     kept = results.where("FALSE") if rescore else results.where("judge_score IS NOT NULL")
     asked = pending.drop("judge_score", "judge_error").withColumn("system_prompt", F.lit(system)).withColumn("user_prompt", judge_prompt(F.col("question"), F.col("gold_answer"), F.col("answer")))
+    if dry_run:
+        return asked
     said = answer_misses(asked.withColumnRenamed("answer", "predicted"), judge_fn).withColumn("judge_score", judge_score(F.col("answer")))
     said = said.withColumn("judge_error", F.when(F.col("judge_score").isNull(), F.coalesce("error", F.lit("unparseable")))).drop("answer").withColumnRenamed("predicted", "answer")
     return kept.unionByName(said.select(*results.columns))

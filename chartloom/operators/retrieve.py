@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chartloom.functions.text import blank_tokens
+from chartloom.functions.tokens import BLANKS, Tokens
 from chartloom.operators.timeline import event_document, event_lines, named_values
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -170,29 +171,24 @@ def user_prompt(context: Column, question: Column) -> Column:
     return F.concat(F.lit("### Patient Context\n\n"), context, F.lit("\n\n### Question\n\n"), question)
 
 
-def count_blank_tokens(c: Column) -> Column:
-    return F.size(blank_tokens(c))
-
-
-def cut_to_budget(text: Column, question: Column, budget: int = BUDGET) -> Column:
+def cut_to_budget(text: Column, question: Column, budget: int = BUDGET, tokens: Tokens = BLANKS) -> Column:
     """Text within the budget left by the prompt around the question; unchanged if it fits."""
-    return _cut(text, blank_tokens(text), question, budget)
-
+    return tokens.cut(text, F.greatest(F.lit(budget) - tokens.count(user_prompt(F.lit(""), question)), F.lit(0)))
 
-def _cut(text: Column, tokens: Column, question: Column, budget: int) -> Column:
-    room = F.greatest(F.lit(budget) - count_blank_tokens(user_prompt(F.lit(""), question)), F.lit(0))
-    return F.when(F.size(tokens) <= room, text).otherwise(F.array_join(F.slice(tokens, 1, room), " "))
 
+def _prompt(rows: DataFrame, full: Column, method: str | Column, budget: int, tokens: Tokens) -> DataFrame:
+    # Text, room and context are columns of their own, so none is made more than once.
+    out = rows.withColumn("_full", full).withColumn("_room", F.greatest(F.lit(budget) - tokens.count(user_prompt(F.lit(""), F.col("question"))), F.lit(0)))
+    if tokens is BLANKS:
+        out = out.withColumn("_tokens", blank_tokens(F.col("_full")))
+        out = out.withColumn("_context", F.when(F.size("_tokens") <= F.col("_room"), F.col("_full")).otherwise(F.array_join(F.slice("_tokens", 1, F.col("_room")), " ")))
+    else:
+        out = out.withColumn("_context", tokens.cut(F.col("_full"), F.col("_room")))
+    return out.select("qa_id", "record_id", (F.lit(method) if isinstance(method, str) else method).alias("method"), user_prompt(F.col("_context"), F.col("question")).alias("user_prompt"), tokens.count(F.col("_context")).alias("context_tokens"))
 
-def _prompt(rows: DataFrame, full: Column, method: str, budget: int) -> DataFrame:
-    # Text and tokens are columns of their own, so neither is made more than once.
-    out = rows.withColumn("_full", full).withColumn("_tokens", blank_tokens(F.col("_full")))
-    out = out.withColumn("_context", _cut(F.col("_full"), F.col("_tokens"), F.col("question"), budget))
-    return out.select("qa_id", "record_id", F.lit(method).alias("method"), user_prompt(F.col("_context"), F.col("question")).alias("user_prompt"), count_blank_tokens(F.col("_context")).alias("context_tokens"))
 
-
-def discharge_only(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
-    return _prompt(rows, F.coalesce("discharge_summary", F.lit("")), "discharge_only", budget)
+def discharge_only(rows: DataFrame, budget: int = BUDGET, tokens: Tokens = BLANKS) -> DataFrame:
+    return _prompt(rows, F.coalesce("discharge_summary", F.lit("")), "discharge_only", budget, tokens)
 
 
 def record_texts(records: DataFrame, n: int = 25) -> DataFrame:
@@ -211,20 +207,40 @@ def record_texts(records: DataFrame, n: int = 25) -> DataFrame:
     return rows.withColumns({"full_text": full, "recent_text": recent}).drop("_all", "_at", "_n", "_lines", "_recent")
 
 
-def full_context(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
-    return _prompt(rows, F.col("full_text"), "full_context", budget)
+def full_context(rows: DataFrame, budget: int = BUDGET, tokens: Tokens = BLANKS) -> DataFrame:
+    return _prompt(rows, F.col("full_text"), "full_context", budget, tokens)
 
 
-def recency(rows: DataFrame, n: int = 25, budget: int = BUDGET) -> DataFrame:
-    return _prompt(rows, F.col("recent_text"), f"recency_n{n}", budget)
+def recency(rows: DataFrame, n: int = 25, budget: int = BUDGET, tokens: Tokens = BLANKS) -> DataFrame:
+    return _prompt(rows, F.col("recent_text"), f"recency_n{n}", budget, tokens)
 
 
-def from_scores(rows: DataFrame, chunks: DataFrame, scored: DataFrame, method: str, k: int = 5, budget: int = BUDGET) -> DataFrame:
-    """Context of the k best chunks in reading order; without chunks the whole summary."""
+def from_scores(rows: DataFrame, chunks: DataFrame, scored: DataFrame, method: str, k: int = 5, budget: int = BUDGET, tokens: Tokens = BLANKS) -> DataFrame:
+    """Context of the k best chunks in reading order; without chunks the whole summary, as ``discharge_only``."""
     picked = top_k(scored, ["qa_id", "record_id"], k).join(chunks.select("record_id", "chunk_idx", "chunk"), ["record_id", "chunk_idx"])
     context = reading_order(picked, ["qa_id", "record_id"])
     joined = rows.join(context, ["qa_id", "record_id"], "left")
-    return _prompt(joined, F.coalesce("context", "discharge_summary", F.lit("")), f"{method}_k{k}", budget)
+    name = F.when(F.col("context").isNull(), "discharge_only").otherwise(f"{method}_k{k}")
+    return _prompt(joined, F.coalesce("context", "discharge_summary", F.lit("")), name, budget, tokens)
+
+
+def bm25_prompts(rows: DataFrame, chunks: DataFrame, k: int = 5, budget: int = BUDGET, tokens: Tokens = BLANKS) -> DataFrame:
+    """``rows`` has qa_id, record_id, question, discharge_summary; ``chunks`` record_id, chunk_idx, chunk."""
+    scored = bm25(rows.select("qa_id", "record_id", "question"), chunks).withColumn("score", F.round("score", 9))
+    return from_scores(rows, chunks, scored, "bm25", k, budget, tokens)
+
+
+def semantic_prompts(rows: DataFrame, chunks: DataFrame, encode: Callable[[Column], Column], k: int = 5, budget: int = BUDGET, tokens: Tokens = BLANKS) -> DataFrame:
+    """Ranked by cosine; vectors that are there (columns qv of ``rows`` and cv of ``chunks``) are taken, others made by ``encode``."""
+    q = rows if "qv" in rows.columns else rows.withColumn("qv", encode(F.col("question")))
+    c = chunks if "cv" in chunks.columns else chunks.withColumn("cv", encode(F.col("chunk")))
+    scored = q.select("qa_id", "record_id", "qv").join(c.select("record_id", "chunk_idx", "cv"), "record_id").select("qa_id", "record_id", "chunk_idx", cosine(F.col("qv"), F.col("cv")).alias("score"))
+    return from_scores(rows, chunks, scored, "semantic_rag", k, budget, tokens)
+
+
+def learned_prompts(rows: DataFrame, chunks: DataFrame, scored: DataFrame, k: int = 5, budget: int = BUDGET, tokens: Tokens = BLANKS) -> DataFrame:
+    """Ranked by the scores of a ranker: (qa_id, record_id, chunk_idx, score)."""
+    return from_scores(rows, chunks, scored, "learned", k, budget, tokens)
 
 
-STRATEGIES: dict[str, Callable[..., DataFrame]] = {"discharge_only": discharge_only, "full_context": full_context, "recency": recency, "bm25": from_scores, "semantic_rag": from_scores, "learned": from_scores}
+STRATEGIES: dict[str, Callable[..., DataFrame]] = {"discharge_only": discharge_only, "full_context": full_context, "recency": recency, "bm25": bm25_prompts, "semantic_rag": semantic_prompts, "learned": learned_prompts}

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from chartloom.functions import text as T
 from chartloom.operators import chunk, features, infer, label, learn, report, retrieve, score
 from chartloom.operators import timeline as tl
+from chartloom.operators.units import item_of, reference_rows
 from chartloom.session import materialise, table
 from chartloom.sources.tables import result_key
 
@@ -73,13 +74,16 @@ def scan_project_patients(spark, d):
     return tl.keep_ids(table(spark, d, "patients").select("subject_id", "gender", "anchor_age", "anchor_year"), table(spark, d, "qa_pairs"), "subject_id")
 
 
-VITAL_LABELS = ["Heart Rate", "Systolic Blood Pressure", "Diastolic Blood Pressure", "Respiratory Rate", "Body Temperature", "Oxygen Saturation"]
+VITAL_ITEMS = ["heart rate", "systolic blood pressure", "diastolic blood pressure", "respiratory rate", "body temperature", "oxygen saturation", "body weight", "pain score", "urine output"]
+# A label may carry further words after the name of its item.
+ITEM_OF = lambda c, m: f"starts_with(lower(trim({c})), lower({m})) AND NOT regexp_matches(substr(lower(trim({c})), length({m}) + 1, 1), '[a-z]')"
 
 
-@query(f"SELECT label, count(*) AS n, count(valuenum) AS n_numbers FROM timeline_events WHERE event_type = 'vital' AND label IN ({', '.join(repr(x) for x in VITAL_LABELS)}) GROUP BY label")
+@query(f"""SELECT i.item, count(*) AS n, count(valuenum) AS n_numbers FROM timeline_events e JOIN (SELECT unnest([{', '.join(repr(x) for x in VITAL_ITEMS)}]) AS item) i ON {ITEM_OF('e.label', 'i.item')} WHERE event_type = 'vital' GROUP BY 1""")
 def vitals_item_filter(spark, d):
-    rows = table(spark, d, "timeline_events").where((F.col("event_type") == "vital") & F.col("label").isin(*VITAL_LABELS))
-    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("valuenum").alias("n_numbers"))
+    """Readings of a constant list of items, whatever words follow the item's name."""
+    rows = table(spark, d, "timeline_events").where("event_type = 'vital'").select(item_of(F.col("label"), VITAL_ITEMS).alias("item"), "valuenum")
+    return rows.where("item IS NOT NULL").groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.count("valuenum").alias("n_numbers"))
 
 
 @query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000) GROUP BY 1")
@@ -88,10 +92,12 @@ def batched_semi_join(spark, d):
     return tl.keep_ids(table(spark, d, "lineitem").select("l_orderkey", "l_returnflag"), ids, "l_orderkey").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT e.event_id, e.hadm_id, e.label, m.kind, m.common_unit FROM timeline_events e JOIN measure_reference m ON e.label = m.label WHERE e.event_type = 'lab' AND e.hadm_id IN (SELECT hadm_id FROM admissions)")
+@query(f"SELECT e.event_id, e.hadm_id, e.label, m.kind, m.common_unit FROM timeline_events e JOIN measure_reference m ON {ITEM_OF('e.label', 'm.label')} WHERE e.event_type = 'lab' AND e.hadm_id IN (SELECT hadm_id FROM admissions)")
 def labs_dict_join(spark, d):
-    labs = table(spark, d, "timeline_events").where("event_type = 'lab'").select("event_id", "hadm_id", "label")
-    joined = tl.dictionary_join(labs, table(spark, d, "measure_reference").select("label", "kind", "common_unit"), ["label"])
+    reference = table(spark, d, "measure_reference")
+    names = sorted({r.label.lower() for r in reference_rows(reference)}, key=lambda x: (-len(x), x))
+    labs = table(spark, d, "timeline_events").where("event_type = 'lab'").select("event_id", "hadm_id", "label", item_of(F.col("label"), names).alias("item"))
+    joined = tl.dictionary_join(labs, reference.select(F.lower("label").alias("item"), "kind", "common_unit"), ["item"]).drop("item")
     return tl.keep_ids(joined, table(spark, d, "admissions"), "hadm_id")
 
 
@@ -113,11 +119,12 @@ def notes_latest_wins(spark, d):
     return notes(spark, d, "discharge_summary").select("subject_id", "hadm_id", "record_id", F.char_length("discharge_summary").cast("bigint").alias("n_chars"))
 
 
-@query("""SELECT subject_id, hadm_id, admittime, dischtime, admission_type FROM admissions
-    WHERE hadm_id IN (SELECT hadm_id FROM qa_pairs) AND admission_type IS NOT NULL AND admission_type <> ''""")
+ADM_F = ["subject_id", "hadm_id", "admittime", "dischtime", "deathtime", "admission_type", "admit_provider_id", "admission_location", "discharge_location", "insurance", "language", "marital_status", "race"]
+
+
+@query(f"SELECT {', '.join(ADM_F)} FROM admissions WHERE hadm_id IN (SELECT hadm_id FROM qa_pairs) ORDER BY admittime")
 def admissions_scan(spark, d):
-    rows = table(spark, d, "admissions").select("subject_id", "hadm_id", "admittime", "dischtime", "admission_type").where("admission_type IS NOT NULL AND admission_type <> ''")
-    return tl.keep_ids(rows, table(spark, d, "qa_pairs"), "hadm_id")
+    return tl.keep_ids(table(spark, d, "admissions").select(*ADM_F), table(spark, d, "qa_pairs"), "hadm_id").orderBy("admittime")
 
 
 @query("""WITH driver AS (SELECT DISTINCT subject_id, hadm_id, note_id FROM qa_pairs),
@@ -533,9 +540,6 @@ def recency_prompt(spark, d):
 
 PART = lambda s, fs, head: f"(SELECT '{head}' || chr(10) || nullif(concat_ws(chr(10), {', '.join(f'''CASE WHEN n.{s}.{f} IS NOT NULL THEN '  {f}: ' || n.{s}.{f} END''' for f in fs)}), ''))"
 DEMO_F = ["subject_id", "gender", "anchor_age", "anchor_year", "anchor_year_group", "dod"]
-ADM_F = ["subject_id", "hadm_id", "admittime", "dischtime", "deathtime", "admission_type", "admit_provider_id", "admission_location", "discharge_location", "insurance", "language", "marital_status", "race"]
-
-
 @query(f"""WITH {ASKED_SQL}, pick AS (SELECT record_id, i, e.* FROM (SELECT record_id, generate_subscripts(events, 1) AS i, unnest(events) AS e FROM notes) WHERE e IS NOT NULL), {DOC_SQL},
     full_rows AS (SELECT a.qa_id, a.record_id, a.question, concat_ws(chr(10) || chr(10), {PART('demographics', DEMO_F, 'DEMOGRAPHICS:')}, {PART('admission', ADM_F, 'ADMISSION:')}, nullif(docs.doc, ''), nullif(n.discharge_summary, '')) AS full_text
         FROM asked a JOIN notes n USING (record_id) LEFT JOIN docs USING (record_id)) {PROMPT_SQL}""")
@@ -546,11 +550,8 @@ def full_context_prompt(spark, d):
 @query()
 def semantic_rag_prompt(spark, d):
     """Top chunks by cosine of hashed term vectors, a stand-in encoder for pre-computed embeddings."""
-    encode = retrieve.hashed_vectors()
-    rows = asked(spark, d, "discharge_summary")
-    chunks = note_chunks(spark, d).withColumn("cv", encode(F.col("chunk")))
-    scored = rows.select("qa_id", "record_id", encode(F.col("question")).alias("qv")).join(chunks.select("record_id", "chunk_idx", "cv"), "record_id").withColumn("score", retrieve.cosine(F.col("qv"), F.col("cv")))
-    return _digest(retrieve.from_scores(rows, chunks, scored.select("qa_id", "record_id", "chunk_idx", "score"), "semantic_rag"))
+    chunks = materialise(note_chunks(spark, d).select("record_id", "chunk_idx", "chunk"), "chunks")
+    return _digest(retrieve.semantic_prompts(asked(spark, d, "discharge_summary"), chunks, retrieve.hashed_vectors()))
 
 
 # ---- features and learning ------------------------------------------------------------------
@@ -645,7 +646,7 @@ def rule_weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, ((i * 7919) % 2001 - 1000) / 1000) for i, n in enumerate(features.feature_names())], "feature string, weight double")
 
 
-WEIGHTS_SQL = "w AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {((i * 7919) % 2001 - 1000) / 1000})" for i, n in enumerate(features.feature_names())) + ") AS t(feature, weight))"
+WEIGHTS_SQL = "w AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {((i * 7919) % 2001 - 1000) / 1000})" for i, n in enumerate(features.feature_names())) + ") AS t(idx, feature, weight))"
 
 
 @query(f"WITH {WEIGHTS_SQL} SELECT feature, CAST(weight AS DOUBLE) AS weight FROM w WHERE weight <> 0 ORDER BY abs(weight) DESC, feature LIMIT 15")
@@ -653,10 +654,8 @@ def feature_top_weights(spark, d):
     return rule_weights(spark).where("weight <> 0").orderBy(F.desc(F.abs("weight")), "feature").limit(15)
 
 
-@query(f"""WITH {WEIGHTS_SQL}, g AS (SELECT abs(CAST(weight AS DOUBLE)) AS a, CASE WHEN feature IN ('embed_sim', 'tfidf_sim', 'lexical_overlap', 'content_word_overlap') THEN 'Similarity' WHEN feature IN ('position', 'log_length', 'numeric_density') THEN 'Structural / Positional'
-    WHEN starts_with(feature, 'sec_') THEN 'Section Identity' WHEN starts_with(feature, 'qt_') THEN 'Question Type' WHEN starts_with(feature, 'int_') AND NOT contains(feature, '_x_') THEN 'Section × Q-Type'
-    WHEN feature IN ('has_temporal_marker', 'temporal_density', 'has_critical_event', 'has_abnormal_lab') THEN 'Text Signals (A)' WHEN feature IN ('days_to_discharge', 'is_within_24h', 'is_within_1week', 'has_no_timestamp') THEN 'Temporal (B)'
-    WHEN contains(feature, '_x_') THEN 'Signal × Q-Type (C)' WHEN starts_with(feature, 'has_') THEN 'Precision (D)' END AS feature_group FROM w)
+@query(f"""WITH {WEIGHTS_SQL}, g AS (SELECT abs(CAST(weight AS DOUBLE)) AS a, CASE WHEN idx < 3 OR idx = 160 THEN 'Similarity' WHEN idx < 5 OR idx = 161 THEN 'Structural / Positional' WHEN idx < 9 THEN 'Text Signals (A)' WHEN idx < 13 THEN 'Temporal (B)'
+    WHEN idx < 32 THEN 'Section Identity' WHEN idx < 38 THEN 'Question Type' WHEN idx < 152 THEN 'Section × Q-Type' WHEN idx < 160 THEN 'Signal × Q-Type (C)' ELSE 'Precision (D)' END AS feature_group FROM w)
     SELECT feature_group, round(sum(a), 6) AS mass, round(100 * sum(a) / (SELECT sum(a) FROM g), 4) AS percent FROM g GROUP BY 1""")
 def feature_group_mass(spark, d):
     return learn.weight_groups(rule_weights(spark))
@@ -717,7 +716,7 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {RESULTS_SQL} SELECT model, {', '.join(f'''round(avg(coalesce(token_f1, 0)) FILTER (method = '{m}'), 6) AS {m}''' for m in METHODS)} FROM results GROUP BY model")
 def model_method_matrix(spark, d):
-    return report.model_method_matrix(results(spark, d), "token_f1", METHODS)
+    return report.model_method_matrix(results(spark, d), "token_f1")
 
 
 @query(f"WITH {RESULTS_SQL}, c AS (SELECT model, method, avg(coalesce(token_f1, 0)) AS m FROM results GROUP BY 1, 2) SELECT model, method, round(m, 6) AS mean, max(m) OVER (PARTITION BY model) - m < 0.0001 AS is_best FROM c")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom import schemas
+from chartloom.functions.text import strip_blank
+from chartloom.session import _file_system, table
 
 
 def read_timelines(spark: SparkSession, path: str) -> DataFrame:
@@ -73,3 +78,107 @@ def upsert_means(summary: DataFrame, means: DataFrame) -> DataFrame:
     old = summary if "judge_mean" in summary.columns else summary.withColumn("judge_mean", F.lit(None).cast("double"))
     joined = old.join(means.withColumnRenamed("judge_mean", "_new"), ["model", "method"], "left")
     return joined.withColumn("judge_mean", F.coalesce("_new", "judge_mean")).drop("_new")
+
+
+def read_config(path: str) -> dict:
+    """A settings file: JSON, or YAML in its plain form - nested keys with scalar values, comments, quotes."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return json.loads(text)
+    root: dict = {}
+    levels = [(-1, root)]
+    for line in text.splitlines():
+        bare = re.sub(r"""\s+#[^"']*$|^\s*#.*$""", "", line).rstrip()
+        if not bare.strip():
+            continue
+        depth = len(bare) - len(bare.lstrip())
+        key, _, value = bare.strip().partition(":")
+        while levels[-1][0] >= depth:
+            levels.pop()
+        if value.strip():
+            levels[-1][1][key] = _scalar(value.strip())
+        else:
+            levels[-1][1][key] = {}
+            levels.append((depth, levels[-1][1][key]))
+    return root
+
+
+def _scalar(text: str):
+    if text[:1] in "\"'" and text[-1:] == text[:1]:
+        return text[1:-1]
+    if text in ("true", "false", "null"):
+        return {"true": True, "false": False, "null": None}[text]
+    try:
+        return int(text)
+    except ValueError:
+        try:
+            return float(text)
+        except ValueError:
+            return text
+
+
+def register_tables(spark: SparkSession, directory: str, names: list[str]) -> None:
+    """Tables of a folder as views, so that any SQL can be asked of them."""
+    for name in names:
+        table(spark, directory, name).createOrReplaceTempView(name)
+
+
+def run_query(spark: SparkSession, sql: str, **args) -> DataFrame:
+    """Ad-hoc SQL over registered tables; ``args`` fill named markers."""
+    return spark.sql(sql, args=args or None)
+
+
+def load_and_merge(spark: SparkSession, timelines: str, qa: str) -> DataFrame:
+    """Timelines with their pairs: inner join by stay, the last non-empty list of a stay wins, blank notes leave."""
+    pairs = read_qa(spark, qa).where("size(qa_pairs) > 0").withColumn("_n", F.monotonically_increasing_id())
+    last = pairs.groupBy("subject_id", "hadm_id").agg(F.max_by("qa_pairs", "_n").alias("qa_pairs"))
+    records = read_timelines(spark, timelines).where(strip_blank(F.col("discharge_summary")) != "")
+    return records.join(last, ["subject_id", "hadm_id"]).withColumn("note_text", strip_blank(F.col("discharge_summary")))
+
+
+def summary_rows(results: DataFrame) -> DataFrame:
+    """(model, method, n, token_f1_mean, rouge_l_f1_mean, context_tokens_mean, prompt_tokens_mean), missing values as 0."""
+    means = [F.avg(F.coalesce(F.col(c), F.lit(0)).cast("double")).alias(f"{c}_mean") for c in ("token_f1", "rouge_l_f1", "context_tokens", "prompt_tokens")]
+    return results.groupBy("model", "method").agg(F.count(F.lit(1)).alias("n"), *means)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """One JSON line per model, its methods as a map: one row per cell reaches the writer."""
+    cells = F.struct(*[c for c in summary.columns if c not in ("model", "method")])
+    by = summary.groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", cells)))).alias("methods"))
+    by.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """A summary in long form: (model, method, metric, value)."""
+    raw = spark.read.schema("model string, methods map<string,map<string,double>>").json(path)
+    return raw.select("model", F.explode("methods").alias("method", "metrics")).select("model", "method", F.explode("metrics").alias("metric", "value"))
+
+
+def write_rankings(rankings: DataFrame, path: str) -> None:
+    """Rankings with their score counts, one JSON line per strategy."""
+    rankings.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_rankings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("rank int, strategy string, n bigint, mean_score double, wins double, win_pct double").json(path)
+
+
+def write_metrics(metrics: DataFrame, recall: DataFrame, path: str) -> None:
+    """Metrics of a trained ranker and its recall by k, as one JSON object."""
+    by_k = recall.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("recall_at_"), F.col("k").cast("string")), "recall")))).alias("recall"))
+    metrics.join(F.broadcast(by_k)).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Stored answers by request key, the first stored of a key; an absent folder is an empty cache."""
+    schema = "cache_key string, answer string, prompt_tokens int, completion_tokens int"
+    files, target = _file_system(spark, path)
+    if not files.exists(target):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).dropDuplicates(["cache_key"])
+
+
+def append_cache(new: DataFrame, path: str) -> None:
+    new.select("cache_key", "answer", "prompt_tokens", "completion_tokens").write.mode("append").parquet(path)
