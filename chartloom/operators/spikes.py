@@ -33,7 +33,7 @@ from chartloom.operators.units import normalise_quantities, reference_rows
 from chartloom.session import materialise, release
 
 FAR = 9.0  # spreads a spike lies away from what its source normally reports
-SPARSE = 6.0  # spreads at which entries are clipped; half of it makes an entry sparse while the basis is fitted
+SPARSE = 3.0  # spreads from the low-rank part beyond which an entry is sparse while that is fitted
 STUCK = 8  # equal readings in a frozen run
 SLOTS = 6  # slots of a day
 RANK = 3
@@ -157,22 +157,22 @@ def _by_source(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, int, li
 
 
 def _low_rank(row: np.ndarray, cell: np.ndarray, z: np.ndarray, n_rows: int, width: int, basis: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Low-rank rows on every cell, and the completed matrix with its sparse part taken out."""
-    clipped = np.clip(z, -SPARSE, SPARSE)
+    """Low-rank rows on every cell, and the completed matrix without its sparse part.
+
+    Entries further than ``SPARSE`` from the low-rank part are sparse and leave their cell's
+    mean; a cell without other entries is completed from the low-rank part.
+    """
     at = row * width + cell
-    total = np.bincount(at, weights=clipped, minlength=n_rows * width).reshape(n_rows, width)
-    seen = np.bincount(at, minlength=n_rows * width).reshape(n_rows, width)
-    has = seen > 0
-    mean = np.divide(total, seen, out=np.zeros_like(total), where=has)
-    if basis is None:
-        return np.zeros_like(mean), np.clip(mean, -3.0, 3.0)
-    low = np.zeros_like(mean)
-    full = mean
-    for _ in range(3):
-        sparse = np.where(has & (np.abs(mean - low) > SPARSE / 2), mean - low, 0.0)
-        full = np.where(has, mean - sparse, low)
-        low = (full @ basis) @ basis.T
-    return low, full
+    low = np.zeros(n_rows * width)
+    full = low.reshape(n_rows, width)
+    for _ in range(1 if basis is None else 3):
+        dense = np.abs(z - low[at]) <= SPARSE
+        seen = np.bincount(at[dense], minlength=n_rows * width)
+        total = np.bincount(at[dense], weights=z[dense], minlength=n_rows * width)
+        full = np.where(seen > 0, total / np.maximum(seen, 1), low).reshape(n_rows, width)
+        if basis is not None:
+            low = ((full @ basis) @ basis.T).ravel()
+    return low.reshape(n_rows, width), full
 
 
 def fitted_bases(rows: DataFrame, width: int, known: dict[str, Source]) -> dict[str, np.ndarray]:
