@@ -38,8 +38,8 @@ def bm25(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     postings = terms.select("record_id", "chunk_idx", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("record_id", "chunk_idx", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("record_id", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "record_id")
     idf = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.groupBy("record_id").agg((F.lit(EPSILON) * F.avg("raw")).alias("floor"))
-    idf = idf.join(mean, "record_id").select("record_id", "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    # The mean over a record's terms is a window over what the join has partitioned already.
+    idf = idf.withColumn("floor", EPSILON * F.avg("raw").over(Window.partitionBy("record_id"))).select("record_id", "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     asked = questions.select("qa_id", "record_id", F.explode(blank_tokens(F.lower("question"))).alias("term")).groupBy("qa_id", "record_id", "term").agg(F.count(F.lit(1)).alias("times"))
     hit = postings.join(idf, ["record_id", "term"]).join(asked, ["record_id", "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

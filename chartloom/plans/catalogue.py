@@ -198,11 +198,12 @@ def recency_last_n(spark, d):
 
 
 @query(f"""WITH {EVENTS_SQL}, t AS (SELECT record_id, pos, len({TOK(f'({LINE_SQL})')}) AS n FROM ev WHERE event_type <> 'diagnosis'),
-    r AS (SELECT *, 50 + sum(n) OVER (PARTITION BY record_id ORDER BY pos) AS running FROM t)
-    SELECT record_id, count(*) FILTER (running <= 400) AS kept, count(*) FILTER (running > 400) AS cut FROM r GROUP BY 1 HAVING kept > 0""")
+    r AS (SELECT *, sum(n) OVER (PARTITION BY record_id ORDER BY pos) AS running FROM t)
+    SELECT record_id, count(*) FILTER (running <= 10000) AS kept, count(*) FILTER (running > 10000) AS cut FROM r GROUP BY 1""")
 def running_token_budget(spark, d):
+    """Lines of every record within the budget of 12,000 tokens less 2,000, and those beyond it; ``generation_texts`` has the text around them."""
     rows = sorted_rows(spark, d).where("event_type <> 'diagnosis'").withColumn("n", F.size(T.blank_tokens(tl.event_line(F.col("event_type"), F.col))))
-    return tl.budget_counts(rows.select("record_id", "pos", "n"), ["record_id"], ["pos"], "n", 400, 50)
+    return tl.budget_counts(rows.select("record_id", "pos", "n"), ["record_id"], ["pos"], "n", 10_000)
 
 
 @query("SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.ref') AS ref FROM events")
@@ -429,20 +430,22 @@ BM25_SQL = f"""{ASKED_SQL}, {FIXED_SQL.replace(NOTES_SQL + ', ', '')},
     scored AS (SELECT a.qa_id, a.record_id, t.chunk_idx, coalesce(h.score, 0) AS score FROM asked a JOIN terms t USING (record_id) LEFT JOIN hits h ON h.qa_id = a.qa_id AND h.record_id = a.record_id AND h.chunk_idx = t.chunk_idx)"""
 
 
-def bm25_rows(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.bm25(asked(spark, d).select("qa_id", "record_id", "question"), materialise(fixed_note_chunks(spark, d).select("record_id", "chunk_idx", "chunk"), "windows"))
+def bm25_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of every question with every window of its record, and the windows."""
+    windows = materialise(fixed_note_chunks(spark, d).select("record_id", "chunk_idx", "chunk"), "windows")
+    return retrieve.bm25(asked(spark, d).select("qa_id", "record_id", "question"), windows), windows
 
 
 @query(f"WITH {BM25_SQL} SELECT qa_id, chunk_idx, round(score, 5) AS score FROM scored")
 def bm25_scores(spark, d):
-    return bm25_rows(spark, d).select("qa_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.round("score", 5).alias("score"))
+    return bm25_rows(spark, d)[0].select("qa_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.round("score", 5).alias("score"))
 
 
 @query(f"""WITH {BM25_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qa_id ORDER BY round(score, 9) DESC, chunk_idx DESC) AS rank FROM scored)
     SELECT r.qa_id, r.record_id, count(*) AS n_chunks, md5(string_agg(f.chunk, chr(10) || chr(10) ORDER BY r.chunk_idx)) AS digest FROM r JOIN fixed f USING (record_id, chunk_idx) WHERE rank <= 5 GROUP BY 1, 2""")
 def bm25_topk_context(spark, d):
-    picked = retrieve.top_k(bm25_rows(spark, d).withColumn("score", F.round("score", 9)), ["qa_id", "record_id"], 5)
-    chunks = fixed_note_chunks(spark, d).select("record_id", "chunk_idx", "chunk")
+    scored, chunks = bm25_rows(spark, d)
+    picked = retrieve.top_k(scored.withColumn("score", F.round("score", 9)), ["qa_id", "record_id"], 5)
     out = retrieve.reading_order(picked.join(chunks, ["record_id", "chunk_idx"]), ["qa_id", "record_id"])
     return out.select("qa_id", "record_id", "n_chunks", F.md5("context").alias("digest"))
 
@@ -460,15 +463,16 @@ def tfidf_vocab(spark, d):
 
 @query(f"""WITH {VOCAB_SQL}, src AS (SELECT qa_id, 'q' AS side, {WORDS2('question')} AS w FROM qa_pairs WHERE question IS NOT NULL AND answer IS NOT NULL UNION ALL SELECT qa_id, 'a', {WORDS2('answer')} FROM qa_pairs WHERE question IS NOT NULL AND answer IS NOT NULL),
     g AS (SELECT qa_id, side, unnest({GRAMS('w')}) AS term FROM src), tf AS (SELECT qa_id, side, term, (1 + ln(count(*))) * any_value(idf) AS w FROM g JOIN vocab USING (term) GROUP BY 1, 2, 3),
-    nm AS (SELECT qa_id, side, sqrt(sum(w * w)) AS norm FROM tf GROUP BY 1, 2), v AS (SELECT tf.qa_id, tf.side, term, w / norm AS w FROM tf JOIN nm USING (qa_id, side))
-    SELECT a.qa_id, round(sum(a.w * b.w), 5) AS similarity FROM v a JOIN v b ON a.qa_id = b.qa_id AND a.term = b.term WHERE a.side = 'q' AND b.side = 'a' GROUP BY 1""")
+    nm AS (SELECT qa_id, side, sqrt(sum(w * w)) AS norm FROM tf GROUP BY 1, 2), v AS (SELECT tf.qa_id, tf.side, term, w / norm AS w FROM tf JOIN nm USING (qa_id, side)),
+    s AS (SELECT a.qa_id, round(sum(a.w * b.w), 5) AS similarity FROM v a JOIN v b ON a.qa_id = b.qa_id AND a.term = b.term WHERE a.side = 'q' AND b.side = 'a' GROUP BY 1)
+    SELECT qa_id, coalesce(similarity, 0) AS similarity FROM qa_pairs LEFT JOIN s USING (qa_id) WHERE question IS NOT NULL AND answer IS NOT NULL""")
 def tfidf_cosine(spark, d):
-    vocabulary = retrieve.tfidf_vocabulary(table(spark, d, "documents"), "text")
+    """Similarity of question and answer of every row that has both; 0 where they share no term."""
+    vocabulary = materialise(retrieve.tfidf_vocabulary(table(spark, d, "documents"), "text"), "vocabulary")
     qa = table(spark, d, "qa_pairs").where("question IS NOT NULL AND answer IS NOT NULL")
     q = retrieve.tfidf_vectors(qa, ["qa_id"], "question", vocabulary)
     a = retrieve.tfidf_vectors(qa, ["qa_id"], "answer", vocabulary).withColumnRenamed("weight", "other")
     sums = q.join(a, ["qa_id", "term"]).groupBy("qa_id").agg(F.round(F.sum(F.col("weight") * F.col("other")), 5).alias("similarity"))
-    # Rows that share no term have similarity 0; the SQL's inner join leaves them out.
     return qa.select("qa_id").join(sums, "qa_id", "left").fillna(0.0, ["similarity"])
 
 
@@ -628,7 +632,7 @@ RANKED_SQL = "by_score AS (SELECT score, sum(label) AS pos, sum(1 - label) AS ne
 @query(f"""WITH {SCORE_SQL}, {RANKED_SQL}, t AS (SELECT count(*) AS n_total, sum(label) AS n_pos, avg(CASE WHEN (score >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END) AS accuracy FROM scored)
     SELECT n_total, CAST(n_pos AS BIGINT) AS n_pos, round(accuracy, 6) AS accuracy, round((SELECT sum(neg * (tp - pos) + neg * pos / 2) FROM curve) / (n_pos * (n_total - n_pos)), 6) AS roc_auc, round((SELECT sum(pos * tp / (tp + fp)) FROM curve) / n_pos, 6) AS average_precision FROM t""")
 def lr_metrics(spark, d):
-    return learn.classification_metrics(scored_pairs(spark, d))
+    return learn.classification_metrics(materialise(scored_pairs(spark, d), "scored"))
 
 
 @query(f"WITH {SCORE_SQL}, {RANKED_SQL} SELECT score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / (tp + fp), 6) AS precision FROM curve")
