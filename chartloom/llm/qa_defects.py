@@ -83,9 +83,18 @@ def _words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)([\p{L}]+)"), F.lit(1))
 
 
+def _telling(words: Column) -> Column:
+    """The distinct words that tell languages apart; most words don't."""
+    every = sorted({w for text in LANGUAGES.values() for w in text.split()})
+    return F.array_distinct(F.filter(words, lambda w: w.isin(*every)))
+
+
 def _language_scores(words: Column) -> dict[str, Column]:
-    distinct = F.array_distinct(words)
-    return {lang: F.size(F.array_intersect(distinct, F.array(*[F.lit(w) for w in sorted(set(text.split()))]))) for lang, text in LANGUAGES.items()}
+    def count(text: str) -> Column:
+        own = sorted(set(text.split()))
+        return F.size(F.filter(words, lambda w: w.isin(*own)))
+
+    return {lang: count(text) for lang, text in LANGUAGES.items()}
 
 
 def _share(c: Column, script: str) -> Column:
@@ -141,7 +150,8 @@ def defect_rules(pairs: DataFrame, directory: str = TOKENIZER_DIR, file: str = L
     clause = clause | F.col("_a").rlike(f"(?U){BARE_SUBJECT}")
     truncated = (F.col("_open") & (F.col("_last").isin(*sorted(set(OPEN_ENDS))) | clause | fragment)) | (~stopped & dangling & (F.size("_aw") > 0)) | opened | (number_end & (F.size("_aw") > 2))
 
-    q_scores, a_scores = _language_scores(F.col("_qw")), _language_scores(F.col("_aw"))
+    rows = rows.withColumns({"_qk": _telling(F.col("_qw")), "_ak": _telling(F.col("_aw"))})
+    q_scores, a_scores = _language_scores(F.col("_qk")), _language_scores(F.col("_ak"))
     langs = list(LANGUAGES)
     best = lambda scores: F.array_max(F.array(*[F.struct(scores[x].alias("n"), F.lit(-i).alias("i"), F.lit(x).alias("lang")) for i, x in enumerate(langs)]))
     rows = rows.withColumn("_ql", best(q_scores)).withColumn("_al", best(a_scores))
@@ -151,7 +161,8 @@ def defect_rules(pairs: DataFrame, directory: str = TOKENIZER_DIR, file: str = L
     other_script = F.lit(False)
     for script in (r"\p{IsCyrillic}", r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}", r"\p{IsArabic}", r"\p{IsGreek}", r"\p{IsHangul}", r"\p{IsHebrew}", r"\p{IsDevanagari}"):
         other_script = other_script | ((_share(F.col("_a"), script) > 0.5) & (_share(F.col("_q"), script) < 0.1))
-    language = (foreign | other_script) & (F.col("_q") != "")
+    # Shares of scripts are only counted where a letter isn't Latin.
+    language = (foreign | (F.col("_a").rlike(r"[\p{L}&&[^\p{IsLatin}]]") & other_script)) & (F.col("_q") != "")
 
     rules = {"empty": empty, "copied_question": copied & ~empty, "refusal": refusal & ~empty, "truncated": truncated & ~empty, "other_language": language & ~empty}
     defects = F.filter(F.array(*[F.when(F.coalesce(rules[k], F.lit(False)), F.lit(k)) for k in ORDER]), lambda x: x.isNotNull())
