@@ -82,8 +82,9 @@ _TOKEN = re.compile(r"[^\W_][\w@$*€|']*[\w*@$~]|[@$][\w@$*]*[\w~]|[^\W_]|[.!?\
 _STOPS = {".", "!", "?", "\n"}
 _CODE = re.compile(r"[a-z]{1,2}\d+|\d+[a-z]{1,3}")
 _JOIN = re.compile(r"[ .\-·]")
-_NUMBER = re.compile(r"(?<![\w@$*.\-])\d[\d:.,/]*(?<=\d)(?![\w@$*])")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
+# Both begin with what they consume and look back from there, so that they are tried at digits and blanks only.
+_NUMBER = re.compile(r"\d(?<![\w@$*.\-]\d)[\d:.,/]*(?<=\d)(?![\w@$*])")
+_SENTENCE = re.compile(r"\s(?:(?<=[.!?]\s)|(?<=[\r\n]))\s*")
 
 
 def _joined(m: re.Match) -> str:
