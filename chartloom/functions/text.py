@@ -80,9 +80,17 @@ def strip_blank(c: Column) -> Column:
 
 
 def _shared(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    count = lambda xs, t: F.size(F.filter(xs, lambda y: y == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
+    """Size of the multiset intersection of two token arrays: one pass over the tokens of both in order."""
+    sided = lambda xs, side: F.transform(xs, lambda t: F.struct(t.alias("t"), F.lit(side).alias("s")))
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        one, other = (x["s"] == 0).cast("int"), (x["s"] == 1).cast("int")
+        same = F.struct(acc["t"].alias("t"), (acc["a"] + one).alias("a"), (acc["b"] + other).alias("b"), acc["n"].alias("n"))
+        new = F.struct(x["t"].alias("t"), one.alias("a"), other.alias("b"), (acc["n"] + F.least(acc["a"], acc["b"])).alias("n"))
+        return F.when(x["t"] == acc["t"], same).otherwise(new)
+
+    return F.aggregate(F.array_sort(F.concat(sided(a, 0), sided(b, 1))), start, step, lambda acc: acc["n"] + F.least(acc["a"], acc["b"]))
 
 
 def token_f1(a: Column, b: Column, both_empty: float = 0.0) -> tuple[Column, Column, Column]:
