@@ -344,3 +344,156 @@ def stored_cache_answers(spark, d):
     src.append_cache(new, path)
     rows, _ = infer.run_cached(prompts, src.read_cache(spark, path), infer.extractive_answer)
     return rows.select("qa_id", "record_id", "cached", T.alnum_tokens(F.col("answer")).alias("answer_tokens"))
+
+
+# ---- files written and read back ------------------------------------------------------------
+
+LATEST_SQL = cat.NOTES_SQL
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Latest records with their keys first, as files hold them."""
+    return cat.notes(spark, d, "note_id", "demographics", "admission", "discharge_summary", "events").drop("loaded_at")
+
+
+@query(f"WITH {LATEST_SQL} SELECT subject_id, hadm_id, note_id, len(events) AS n_events, md5(coalesce(discharge_summary, '')) AS digest, demographics.gender AS gender, strftime(admission.admittime, '%Y-%m-%d %H:%M:%S') AS admittime FROM notes")
+def stored_timelines(spark, d):
+    """Timeline records written as JSON, one a line, and read with the declared schema."""
+    path = _place(spark, "timelines")
+    src.write_json(_records(spark, d).drop("record_id"), path)
+    rows = src.read_timelines(spark, path, lines=True)
+    n = F.when(F.col("events").isNotNull(), F.size("events")).cast("bigint")
+    return rows.select("subject_id", "hadm_id", "note_id", n.alias("n_events"), F.md5(F.coalesce("discharge_summary", F.lit(""))).alias("digest"), "demographics.gender", F.date_format("admission.admittime", "yyyy-MM-dd HH:mm:ss").alias("admittime"))
+
+
+@query(f"WITH {LATEST_SQL} SELECT record_id, len(list_filter(events, lambda e: e.event_type = 'lab')) AS n_labs, demographics.anchor_age AS anchor_age FROM notes")
+def stored_parquet_text(spark, d):
+    """Parquet with nested columns as JSON text, parsed again."""
+    path = _place(spark, "flat")
+    src.write_parquet_text(_records(spark, d), path)
+    rows = spark.read.parquet(path)
+    events = F.from_json("events", "array<struct<event_type:string>>")
+    labs = F.filter(events, lambda e: F.coalesce(e["event_type"] == "lab", F.lit(False)))
+    return rows.select("record_id", F.when(F.col("events").isNotNull(), F.size(labs)).cast("bigint").alias("n_labs"), F.get_json_object("demographics", "$.anchor_age").cast("int").alias("anchor_age"))
+
+
+def _nested_pairs(spark: SparkSession, d: str) -> DataFrame:
+    qa = table(spark, d, "qa_pairs").where("subject_id IS NOT NULL AND hadm_id IS NOT NULL")
+    return qa.select("subject_id", "hadm_id", "note_id", F.array(F.struct("question", "answer", "difficulty", "source_types", "reasoning", "correct")).alias("qa_pairs"))
+
+
+@query("SELECT subject_id, hadm_id, count(*) AS n_pairs, count(answer) AS n_answers, sum(length(question)) AS n_chars FROM qa_pairs WHERE subject_id IS NOT NULL AND hadm_id IS NOT NULL GROUP BY 1, 2")
+def stored_qa_csv(spark, d):
+    """Pairs as JSON text in CSV, a damaged row for every stay among them: rows that don't parse are skipped, lists of a stay joined."""
+    path = _place(spark, "qa-csv")
+    rows = _nested_pairs(spark, d).withColumn("qa_pairs", F.to_json("qa_pairs"))
+    damaged = rows.select("subject_id", "hadm_id", "note_id", F.lit('[{"question": "cut').alias("qa_pairs")).distinct()
+    rows.unionByName(damaged).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    pairs = src.read_qa_csv(spark, path)
+    total = F.aggregate("qa_pairs", F.lit(0).cast("bigint"), lambda n, p: n + F.coalesce(F.char_length(p["question"]), F.lit(0)))
+    return pairs.select("subject_id", "hadm_id", F.size("qa_pairs").cast("bigint").alias("n_pairs"), F.size(F.filter("qa_pairs", lambda p: p["answer"].isNotNull())).cast("bigint").alias("n_answers"), total.alias("n_chars"))
+
+
+@query(f"""WITH {LATEST_SQL}, kept AS (SELECT subject_id, hadm_id FROM notes WHERE regexp_matches(discharge_summary, '[^' || '{cat.BLANK[1:]}'))
+    SELECT subject_id, hadm_id, count(*) AS n_pairs FROM qa_pairs JOIN kept USING (subject_id, hadm_id) GROUP BY 1, 2""")
+def stored_merge(spark, d):
+    """Timelines and pairs written as JSON lines, loaded and merged by stay."""
+    timelines, qa = _place(spark, "timelines"), _place(spark, "qa-json")
+    src.write_json(_records(spark, d).drop("record_id"), timelines)
+    src.write_json(_nested_pairs(spark, d).groupBy("subject_id", "hadm_id").agg(F.flatten(F.collect_list("qa_pairs")).alias("qa_pairs")), qa)
+    return src.load_and_merge(spark, timelines, qa, lines=True).select("subject_id", "hadm_id", F.size("qa_pairs").cast("bigint").alias("n_pairs"))
+
+
+@query(f"WITH {cat.RESULTS_SQL} SELECT replace(model || '/x', '/', '--') AS model, method, count(*) AS n, round(avg(token_f1), 6) AS mean FROM results GROUP BY 1, 2")
+def stored_results(spark, d):
+    """Result rows written by model and method, slashes made harmless and prompts left out, and read back."""
+    path = _place(spark, "results")
+    src.write_results(cat.results(spark, d).withColumns({"model": F.concat("model", F.lit("/x")), "user_prompt": F.lit("p")}), path)
+    return spark.read.parquet(path).groupBy("model", "method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("token_f1"), 6).alias("mean"))
+
+
+@query(f"""WITH {cat.RESULTS_SQL}, s AS (SELECT model, method, CASE WHEN method = 'verified' THEN 1.0 END AS judge_mean FROM results GROUP BY 1, 2), m AS (SELECT model, method, round(avg(context_tokens), 4) AS judge_mean FROM results WHERE method <> 'verified' AND model <> 'none' GROUP BY 1, 2)
+    SELECT s.model, s.method, CAST(coalesce(m.judge_mean, s.judge_mean) AS DOUBLE) AS judge_mean FROM s LEFT JOIN m ON m.model = s.model AND m.method = s.method""")
+def summary_upsert(spark, d):
+    """Judge means put into a summary; cells without a new mean keep their old one."""
+    rows = cat.results(spark, d)
+    summary = rows.select("model", "method").distinct().withColumn("judge_mean", F.when(F.col("method") == "verified", 1.0))
+    means = rows.where("method <> 'verified' AND model <> 'none'").groupBy("model", "method").agg(F.round(F.avg("context_tokens"), 4).alias("judge_mean"))
+    return src.upsert_means(summary, means)
+
+
+# ---- calls with functions that SQL can follow -----------------------------------------------
+
+
+def length_judge(system: str, user: str) -> dict:
+    """A judge whose verdict is the length of the request, so that its rows can be checked."""
+    return {"answer": f"Score: {len(user) % 7}"}
+
+
+JUDGE_SQL = "'Question: ' || question || chr(10) || chr(10) || 'Reference answer: ' || coalesce(reasoning, '') || chr(10) || chr(10) || 'Predicted answer: ' || answer"
+
+
+def judge_rows(spark: SparkSession, d: str) -> DataFrame:
+    qa = table(spark, d, "qa_pairs").where("question IS NOT NULL AND answer IS NOT NULL")
+    old = F.when(F.col("qa_id") % 3 == 0, 4)
+    return qa.select("qa_id", "question", F.coalesce("reasoning", F.lit("")).alias("gold_answer"), "answer", old.alias("judge_score"), F.lit(None).cast("string").alias("judge_error"))
+
+
+@query(f"SELECT qa_id, CASE WHEN qa_id % 3 = 0 THEN 4 WHEN length(p) % 7 BETWEEN 1 AND 5 THEN CAST(length(p) % 7 AS INTEGER) END AS judge_score, CASE WHEN qa_id % 3 <> 0 AND length(p) % 7 NOT BETWEEN 1 AND 5 THEN 'unparseable' END AS judge_error FROM (SELECT *, {JUDGE_SQL} AS p FROM qa_pairs WHERE question IS NOT NULL AND answer IS NOT NULL)")
+def judge_pending_rows(spark, d):
+    """Rows without a judge score get one, others keep theirs."""
+    return infer.judge_pending(judge_rows(spark, d), length_judge, "rubric").select("qa_id", "judge_score", "judge_error")
+
+
+@query(f"SELECT qa_id, md5({JUDGE_SQL}) AS digest FROM qa_pairs WHERE question IS NOT NULL AND answer IS NOT NULL")
+def judge_prompts(spark, d):
+    return infer.judge_pending(judge_rows(spark, d), length_judge, "rubric", rescore=True, dry_run=True).select("qa_id", F.md5("user_prompt").alias("digest"))
+
+
+@query("SELECT qa_id, question, CASE qa_id % 3 WHEN 0 THEN 'list' WHEN 1 THEN 'object' ELSE 'single' END AS form FROM qa_pairs WHERE question IS NOT NULL")
+def unwrapped_answers(spark, d):
+    """Pairs taken out of a model's text: a list, an object that holds one, or a single pair, in a code fence or not."""
+    pair = F.to_json(F.struct("question", "answer"))
+    form = F.element_at(F.array(F.lit("list"), F.lit("object"), F.lit("single")), (F.col("qa_id") % 3 + 1).cast("int"))
+    text = F.when(form == "list", F.concat(F.lit("["), pair, F.lit("]"))).when(form == "object", F.concat(F.lit('{"data": ['), pair, F.lit("]}"))).otherwise(pair)
+    fenced = F.when(F.col("qa_id") % 2 == 0, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).otherwise(text)
+    rows = table(spark, d, "qa_pairs").where("question IS NOT NULL").select("qa_id", form.alias("form"), F.explode(infer.unwrap_json(fenced)).alias("p"))
+    return rows.select("qa_id", "p.question", "form")
+
+
+@query(f"""WITH {cat.NOTES_SQL} SELECT q.qa_id, n.record_id FROM qa_pairs q JOIN notes n USING (subject_id, hadm_id) WHERE regexp_matches(q.question, '[^' || '{cat.BLANK[1:]}') AND regexp_matches(q.answer, '[^' || '{cat.BLANK[1:]}')
+    AND regexp_matches(n.discharge_summary, '[^' || '{cat.BLANK[1:]}') AND coalesce(q.correct, true) AND (q.source_types IS NULL OR list_contains(q.source_types, 'discharge_summary')) ORDER BY q.qa_id, n.record_id LIMIT 200""")
+def evaluation_records(spark, d):
+    """The first 200 questions to evaluate: valid, not marked wrong, grounded in the summary, with a note that isn't blank."""
+    q = cat.questions(spark, d).where(F.coalesce("correct", F.lit(True)) & (F.col("source_types").isNull() | F.array_contains("source_types", "discharge_summary")))
+    n = cat.notes(spark, d, "discharge_summary").where(T.strip_blank(F.col("discharge_summary")) != "")
+    return q.select("qa_id", "subject_id", "hadm_id").join(n.select("subject_id", "hadm_id", "record_id"), ["subject_id", "hadm_id"]).select("qa_id", "record_id").orderBy("qa_id", "record_id").limit(200)
+
+
+@query(f"WITH {cat.CHUNKS_SQL}, {cat.FIXED_SQL.replace(cat.NOTES_SQL + ', ', '').replace('tok AS', 'ftok AS').replace('FROM tok)', 'FROM ftok)').replace('win AS', 'fwin AS').replace('FROM win)', 'FROM fwin)')} SELECT 'section' AS strategy, count(*) AS n FROM chunks UNION ALL SELECT 'fixed', count(*) FROM fixed")
+def chunk_strategies(spark, d):
+    notes = cat.notes(spark, d, "discharge_summary").select("record_id", "discharge_summary")
+    counted = [cat.chunk.chunk_notes(notes, "record_id", "discharge_summary", s).agg(F.lit(s).alias("strategy"), F.count(F.lit(1)).alias("n")) for s in ("section", "fixed")]
+    return counted[0].unionByName(counted[1])
+
+
+@query(f"""WITH {cat.PAIRS_SQL}, p AS (SELECT {cat.SEC_IDX} AS s, {cat.QT_IDX} AS t FROM pairs) SELECT CAST(13 + s AS INTEGER) AS idx, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT CAST(32 + t AS INTEGER), count(*) FROM p GROUP BY 1 UNION ALL SELECT CAST(38 + s * 6 + t AS INTEGER), count(*) FROM p GROUP BY 1""")
+def one_hot_counts(spark, d):
+    """How often every section, question type and combination of both is the active one in the vectors of all pairs."""
+    rows = cat.asked(spark, d).join(cat.note_chunks(spark, d), "record_id").select("question", "chunk", "section", "section_header", "position")
+    vectors = features.active_features(features.pair_features(rows)).where("idx BETWEEN 13 AND 151")
+    return vectors.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
+
+
+CROSS_SQL = {"abnormal_lab": f"regexp_matches(chunk, '(?i){T.ABNORMAL_LAB}')", "critical_event": f"regexp_matches(chunk, '(?i){T.CRITICAL_EVENT}')", "temporal_marker": f"regexp_matches(chunk, '(?i){T.TEMPORAL_MARKER}')"}
+
+
+@query(f"WITH {cat.PAIRS_SQL}, p AS (SELECT *, {cat.QTYPE_SQL} AS qtype FROM pairs) " + " UNION ALL ".join(f"SELECT 'int_{s}_x_{t}' AS feature, count(*) AS n FROM p WHERE {CROSS_SQL[s]} AND qtype = '{t}'" for s, t in features.CROSSED if s in CROSS_SQL))
+def crossed_counts(spark, d):
+    """How often a signal in the text meets a type of question; without discharge times none is within a day."""
+    rows = cat.asked(spark, d).join(cat.note_chunks(spark, d), "record_id").select("question", "chunk", "section", "section_header", "position")
+    names = [f"int_{s}_x_{t}" for s, t in features.CROSSED if s in CROSS_SQL]
+    at = {n: i for i, n in enumerate(features.feature_names())}
+    vector = features.pair_features(rows).select(features.feature_array(rows).alias("v"))
+    counts = vector.agg(*[F.count_if(F.get("v", F.lit(at[n])) != 0).alias(n) for n in names])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("n")) for n in names])))

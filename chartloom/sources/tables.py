@@ -13,13 +13,13 @@ from chartloom.functions.text import strip_blank
 from chartloom.session import _file_system, table
 
 
-def read_timelines(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file that holds an array of timeline records."""
-    return spark.read.schema(schemas.TIMELINE).json(path, multiLine=True)
+def read_timelines(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON file that holds an array of timeline records, or with ``lines`` files of one record a line, which can be split."""
+    return spark.read.schema(schemas.TIMELINE).json(path, multiLine=not lines)
 
 
-def read_qa_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.QA_RECORD).json(path, multiLine=True)
+def read_qa_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.schema(schemas.QA_RECORD).json(path, multiLine=not lines)
 
 
 def read_qa_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -129,11 +129,11 @@ def run_query(spark: SparkSession, sql: str, **args) -> DataFrame:
     return spark.sql(sql, args=args or None)
 
 
-def load_and_merge(spark: SparkSession, timelines: str, qa: str) -> DataFrame:
+def load_and_merge(spark: SparkSession, timelines: str, qa: str, lines: bool = False) -> DataFrame:
     """Timelines with their pairs: inner join by stay, the last non-empty list of a stay wins, blank notes leave."""
-    pairs = read_qa(spark, qa).where("size(qa_pairs) > 0").withColumn("_n", F.monotonically_increasing_id())
+    pairs = (read_qa_json(spark, qa, True) if lines else read_qa(spark, qa)).where("size(qa_pairs) > 0").withColumn("_n", F.monotonically_increasing_id())
     last = pairs.groupBy("subject_id", "hadm_id").agg(F.max_by("qa_pairs", "_n").alias("qa_pairs"))
-    records = read_timelines(spark, timelines).where(strip_blank(F.col("discharge_summary")) != "")
+    records = read_timelines(spark, timelines, lines).where(strip_blank(F.col("discharge_summary")) != "")
     return records.join(last, ["subject_id", "hadm_id"]).withColumn("note_text", strip_blank(F.col("discharge_summary")))
 
 
