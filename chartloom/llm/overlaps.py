@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.questions import TURNS, content_tokens, number_key, word_tokens
+from chartloom.llm.questions import TURNS, content_tokens, number_key, plain_text, word_tokens
 from chartloom.session import materialise
 
 EVAL_SHARD = 5_000  # evaluation forms of one subject and number key whose passages make an automaton
@@ -45,10 +45,11 @@ _ARROW = pa.schema([("subject_id", pa.int64()), ("numbers", pa.string()), ("eval
 
 def question_forms(pairs: DataFrame) -> DataFrame:
     """(qa_id, subject_id, split, is_train, numbers, form) of rows that can match."""
-    tokens = content_tokens(F.col("question"))
+    tokens = content_tokens(F.col("q"))
     return (
         pairs.where("subject_id IS NOT NULL AND question IS NOT NULL AND lower(split) IN ('train', 'validation', 'test')")
-        .select(F.col("qa_id").cast("bigint").alias("qa_id"), F.col("subject_id").cast("bigint").alias("subject_id"), F.lower("split").alias("split"), tokens.alias("t"))
+        .select(F.col("qa_id").cast("bigint").alias("qa_id"), F.col("subject_id").cast("bigint").alias("subject_id"), F.lower("split").alias("split"), plain_text(F.col("question")).alias("q"))
+        .select("qa_id", "subject_id", "split", tokens.alias("t"))
         .select("qa_id", "subject_id", "split", (F.col("split") == "train").alias("is_train"), number_key(F.col("t")).alias("numbers"), F.array_join(word_tokens(F.col("t")), " ").alias("form"))
     )
 

@@ -128,7 +128,7 @@ def defect_rules(pairs: DataFrame, directory: str = TOKENIZER_DIR, file: str = L
     bare = F.regexp_replace("_a", r"(?U)[^\p{L}\p{N}]+", "")
     empty = (bare == "") | F.btrim("_a", F.lit(MARKS)).rlike(rf"^{PLACEHOLDERS}$") | F.col("_a").rlike(rf"^{PLACEHOLDERS}[.:]?$")
 
-    rows = rows.withColumn("_qt", content_tokens(F.col("question"))).withColumn("_at", content_tokens(F.col("answer"))).withColumn("_aw", _words(F.col("_a"))).withColumn("_qw", _words(F.col("_q")))
+    rows = rows.withColumn("_qt", content_tokens(F.col("_q"))).withColumn("_at", content_tokens(F.col("_a"))).withColumn("_aw", _words(F.col("_a"))).withColumn("_qw", _words(F.col("_q")))
     shared = F.size(F.array_intersect("_qt", "_at"))
     asks = F.col("_a").rlike(r"\?[\s\"')]*$") | (F.size(F.array_intersect("_aw", F.array(*[F.lit(w) for w in INTERROGATIVES]))) > 0) | F.col("_a").rlike(rf"^{OPENINGS}\b")
     same = (F.regexp_replace("_a", r"(?U)[^\p{L}\p{N}]+", "") == F.regexp_replace("_q", r"(?U)[^\p{L}\p{N}]+", "")) & (bare != "")

@@ -39,12 +39,13 @@ def plain_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)[\s ]+", " "))
 
 
-def content_tokens(c: Column) -> Column:
-    """Tokens of a question without opening, turns of phrase and order; numbers and dates stay whole."""
-    text = F.regexp_replace(plain_text(c), r"^(?:" + OPENINGS + r"\s*[:.,)]*\s*)+", "")
+def content_tokens(plain: Column) -> Column:
+    """Tokens of a ``plain_text`` question without opening, turns of phrase and order; numbers and dates stay whole."""
+    text = F.regexp_replace(plain, r"^(?:" + OPENINGS + r"\s*[:.,)]*\s*)+", "")
     tokens = F.regexp_extract_all(text, F.lit(r"(?U)(\d+(?:[-:./]\d+)*|[\p{L}]+[0-9]*\+?)"), F.lit(1))
     words = F.create_map(*[F.lit(x) for k, v in SAME_WORDS.items() for x in (k, v)])
-    spelled = F.flatten(F.transform(tokens, lambda t: F.split(F.coalesce(F.try_element_at(words, t), t), " ")))
+    # Membership is a hash look-up; the map is only searched for words that are in it.
+    spelled = F.flatten(F.transform(tokens, lambda t: F.when(t.isin(*SAME_WORDS), F.split(F.try_element_at(words, t), " ")).otherwise(F.array(t))))
     return F.array_sort(F.array_distinct(F.filter(spelled, lambda t: ~t.isin(*sorted(set(TURNS))))))
 
 
