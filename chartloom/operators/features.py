@@ -37,29 +37,45 @@ def feature_groups() -> list[str]:
     return [group for n, group in GROUPS for _ in range(n)]
 
 
-def pair_features(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (question, chunk, section, section_header, position, dischtime, tfidf_sim, embed_sim) with scalar features.
+def _have(rows: DataFrame, c: str, missing) -> Column:
+    return F.coalesce(F.col(c), F.lit(missing)) if c in rows.columns else F.lit(missing)
 
-    Missing similarity columns count as 0 and a missing discharge time is neutral.
-    """
-    have = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in pairs.columns else F.lit(d)
-    q, c = F.col("question"), F.col("chunk")
-    pairs = pairs.withColumns({"_qt": T.alnum_tokens(q), "_ct": T.alnum_tokens(c), "_len": F.size(T.blank_tokens(c))})
-    length = F.col("_len")
-    markers = T.count_matches(c, T.TEMPORAL_MARKER)
+
+def chunk_side(chunks: DataFrame) -> DataFrame:
+    """``chunks`` (chunk, section, section_header, position, dischtime) with what depends on the chunk alone; a missing discharge time is neutral."""
+    c = F.col("chunk")
+    chunks = chunks.withColumns({"chunk_tokens": T.alnum_tokens(c), "_len": F.size(T.blank_tokens(c)), "_markers": T.count_matches(c, T.TEMPORAL_MARKER)})
     header = F.coalesce("section_header", F.lit(""))
     own = {
-        "embed_sim": have("embed_sim", 0.0), "tfidf_sim": have("tfidf_sim", 0.0),
-        "lexical_overlap": T.overlap_share(F.col("_qt"), F.col("_ct")),
-        "position": F.coalesce("position", F.lit(0.5)), "log_length": F.log1p(length),
-        "has_temporal_marker": (markers > 0).cast("double"), "temporal_density": markers / F.greatest(length, F.lit(1)),
+        "position": F.coalesce("position", F.lit(0.5)), "log_length": F.log1p("_len"),
+        "has_temporal_marker": (F.col("_markers") > 0).cast("double"), "temporal_density": F.col("_markers") / F.greatest("_len", F.lit(1)),
         "has_critical_event": T.has_match(c, T.CRITICAL_EVENT), "has_abnormal_lab": T.has_match(c, T.ABNORMAL_LAB),
-        **T.temporal_proximity(c, have("dischtime", None).cast("string")),
-        "section": F.when(F.col("section").isin(*T.SECTIONS), F.col("section")).otherwise("other"), "qtype": T.question_type(q),
-        "content_word_overlap": T.overlap_share(F.col("_qt"), F.col("_ct"), T.STOPWORDS), "numeric_density": T.numeric_density(c),
+        **T.temporal_proximity(c, _have(chunks, "dischtime", None).cast("string")),
+        "section": F.when(F.col("section").isin(*T.SECTIONS), F.col("section")).otherwise("other"), "numeric_density": T.numeric_density(c),
         **{name: T.has_match(header, p) for name, p in T.HEADER_FLAGS.items()},
     }
-    return pairs.withColumns(own).drop("_qt", "_ct", "_len")
+    return chunks.withColumns(own).drop("_len", "_markers")
+
+
+def question_side(questions: DataFrame) -> DataFrame:
+    """``questions`` with type and tokens."""
+    return questions.withColumns({"qtype": T.question_type(F.col("question")), "question_tokens": T.alnum_tokens(F.col("question"))})
+
+
+def pair_side(pairs: DataFrame) -> DataFrame:
+    """Pairs of both sides with what depends on both; missing similarity columns count as 0."""
+    q, c = F.col("question_tokens"), F.col("chunk_tokens")
+    own = {"embed_sim": _have(pairs, "embed_sim", 0.0), "tfidf_sim": _have(pairs, "tfidf_sim", 0.0), "lexical_overlap": T.overlap_share(q, c), "content_word_overlap": T.overlap_share(q, c, T.STOPWORDS)}
+    return pairs.withColumns(own).drop("question_tokens", "chunk_tokens")
+
+
+def pair_features(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (question, chunk, section, section_header, position, dischtime, tfidf_sim, embed_sim) with scalar features.
+
+    Where questions and chunks are at hand apart, ``question_side`` and ``chunk_side`` do
+    their part once for each of them, and ``pair_side`` the rest after the join.
+    """
+    return pair_side(chunk_side(question_side(pairs)))
 
 
 def _index(c: Column, names: list[str]) -> Column:

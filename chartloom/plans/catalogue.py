@@ -576,18 +576,19 @@ def pair_vocabulary(sampled: DataFrame, a: DataFrame, chunks: DataFrame) -> Data
 def feature_rows(spark: SparkSession, d: str) -> DataFrame:
     """Features, label and part of every pair; the TF-IDF terms are those of the pairs to learn from, the encoder is the stand-in.
 
-    Labels and similarities are found by key; the texts join last, so pairs never carry them through a shuffle.
+    Labels and similarities are found by key, and what depends on a question or a chunk alone
+    is worked out once for each; both join last, so pairs carry no texts through the shuffles before.
     """
     encode = retrieve.hashed_vectors()
-    a = materialise(asked(spark, d).withColumn("qv", encode(F.col("question"))), "asked")
-    chunks = materialise(note_chunks(spark, d).withColumn("chunk_tokens", T.alnum_tokens(F.col("chunk"))).withColumn("cv", encode(F.col("chunk"))), "chunks")
+    a = materialise(features.question_side(asked(spark, d)).withColumn("qv", encode(F.col("question"))), "asked")
+    times = notes(spark, d, "admission").select("record_id", F.date_format("admission.dischtime", "yyyy-MM-dd HH:mm:ss").alias("dischtime"))
+    chunks = materialise(features.chunk_side(note_chunks(spark, d).join(times, "record_id")).withColumn("cv", encode(F.col("chunk"))), "chunks")
     pairs = label.label_pairs(a.select("qa_id", "record_id", T.alnum_tokens(F.col("answer")).alias("answer_tokens")), chunks.select("record_id", "chunk_idx", "chunk_tokens"))
     keys = materialise(pairs.join(label.hash_split(notes(spark, d), "record_id"), "record_id"), "pairs")
     vocabulary = materialise(pair_vocabulary(sampled_pairs(keys), a, chunks), "vocabulary")
     keys = keys.join(retrieve.pair_tfidf(a, chunks, vocabulary), ["qa_id", "record_id", "chunk_idx"], "left").fillna(0.0, ["tfidf_sim"])
-    times = notes(spark, d, "admission").select("record_id", F.date_format("admission.dischtime", "yyyy-MM-dd HH:mm:ss").alias("dischtime"))
-    rows = keys.join(a, ["qa_id", "record_id"]).join(chunks.drop("chunk_tokens").join(times, "record_id"), ["record_id", "chunk_idx"])
-    return features.pair_features(rows.withColumn("embed_sim", retrieve.cosine(F.col("qv"), F.col("cv"))).drop("qv", "cv"))
+    rows = keys.join(a, ["qa_id", "record_id"]).join(chunks, ["record_id", "chunk_idx"])
+    return features.pair_side(rows.withColumn("embed_sim", retrieve.cosine(F.col("qv"), F.col("cv"))).drop("qv", "cv"))
 
 
 SEC_IDX = "list_position([" + ", ".join(f"'{s}'" for s in T.SECTIONS) + "], section) - 1"
@@ -612,7 +613,7 @@ def feature_matrix_sums(spark, d):
 @query()
 def learned_topk(spark, d):
     """Ranker trained on sampled pairs of the train records, top chunks of the validation questions."""
-    rows = feature_rows(spark, d)
+    rows = materialise(feature_rows(spark, d), "ranked-pairs")
     model = learn.fit_ranker(sampled_pairs(rows))
     scored = learn.apply_ranker(model, rows.where("part = 'validation'"))
     return retrieve.top_k(scored.select("qa_id", "chunk_idx", "label", F.round("score", 6).alias("score")), ["qa_id"], 5)
