@@ -9,7 +9,8 @@ is possible, ties going to the unit its source reports most often.
 Defined results for odd input: an item or unit that is unknown, a null number, a word or a
 bound (<, >) gives a null common value and is no conversion; doses counted in pieces
 (tablets, puffs, bags) likewise; a range counts as its midpoint; duplicate rows each keep
-their row; an empty table gives an empty table; extra columns pass through untouched.
+their row; an empty table gives an empty table; extra columns pass through untouched, but
+one named like a column that is added gives way to it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.functions.columns import shielded
 from chartloom.session import broadcast_checked
 
 # Spellings of units after lower-casing and dropping blanks and dots.
@@ -79,6 +81,7 @@ CHARGE = {"mEq": 1.0, "mmol": 1.0}
 DRUG_CONVERSIONS = [("cholecalciferol", "mcg", 40.0), ("cholecalciferol", "mg", 40000.0), ("magnesium sulfate", "mEq", 0.1232), ("potassium chloride", "mg", 1.0 / 74.55), ("potassium chloride", "g", 1000.0 / 74.55)]
 
 REFERENCE_BOUND = 1000  # rows of the measure reference that may be turned into literals
+OUTPUTS = ["q_item", "q_number", "q_unit", "q_unit_from", "q_value", "q_converted", "q_common_unit", "q_low", "q_high", "q_slack"]
 HABIT_BOUND = 200_000  # pairs of item and source up to which their usual units are broadcast
 _NUMBER = r"^\s*([-+]?\d[\d.,]*)\s*(?:(?:-|–|to)\s*(\d[\d.,]*)\s*)?(.*?)\s*$"
 
@@ -186,6 +189,7 @@ def normalise_quantities(events: DataFrame, reference: DataFrame) -> DataFrame:
     on another unit or scale), q_low, q_high (possible range), q_slack (rounding of the unit).
     """
     spark = events.sparkSession
+    events, kept = shielded(events, lambda c: c.startswith("_"), OUTPUTS)
     ref = reference_rows(reference)
     conversions = conversion_rows(ref)
     names = sorted({r.label.lower() for r in ref}, key=lambda x: (-len(x), x))
@@ -218,7 +222,7 @@ def normalise_quantities(events: DataFrame, reference: DataFrame) -> DataFrame:
     )
     other = (F.col("_by") != 1) | (F.col("_plus") != 0)
     return joined.select(
-        *events.columns,
+        *kept,
         "q_item",
         F.col("_number").alias("q_number"),
         "q_unit",

@@ -132,6 +132,13 @@ def qa_nested_flatten(spark, d):
     return nested.select("subject_id", "hadm_id", F.inline("qa_pairs")).select("qa_id", "subject_id", "hadm_id", "question", "answer")
 
 
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+def adhoc_query(spark, d):
+    """Any SQL over registered tables, with a named argument."""
+    src.register_tables(spark, d, ["nation", "region"])
+    return src.run_query(spark, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = :name", name="ASIA")
+
+
 # ---- prompts -------------------------------------------------------------------------------
 
 

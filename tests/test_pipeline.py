@@ -73,6 +73,21 @@ def test_stays_and_groups_keep_their_links(spark):
     assert sorted((r.record_id, r.child, r.n_rows) for r in flatten.child_counts(own, raw.limit(0)).collect()) == [(7, "demographics", 1), (7, "lab", 2)]
 
 
+# ---- columns of the caller -----------------------------------------------------------------
+
+
+def test_clashing_columns_come_back(spark):
+    from chartloom.operators import units
+
+    row = (1, 2, "lab", "Sodium", "140", None, "mmol/L", "2120-01-01 00:00:00", "s", None, None, None, None, "n", "f", "u", "c")
+    events = spark.createDataFrame([row], EVENTS + ", _number string, _FACTOR string, Q_UNIT string, caller13 string")
+    reference = spark.createDataFrame([("Sodium", "lab", "mmol/L", 90.0, 200.0)], REFERENCE)
+    got = units.normalise_quantities(events, reference)
+    r = got.first()
+    assert (r["_number"], r["_FACTOR"], r["caller13"], r["q_unit"], r["q_value"]) == ("n", "f", "c", "mmol/L", 140.0) and "Q_UNIT" not in got.columns
+    assert spikes.implausible_readings(events, reference).count() == 0
+
+
 # ---- implausible readings ------------------------------------------------------------------
 
 EVENTS = "event_id bigint, hadm_id bigint, event_type string, label string, value string, valuenum double, unit string, timestamp string, source string, loaded_at timestamp, drug string, dose string, dose_unit string"
