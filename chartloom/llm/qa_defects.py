@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartloom.functions.columns import shielded
 from chartloom.functions.text import ENTITIES
 from chartloom.llm.bpe import TOKENIZER_DIR
 from chartloom.llm.questions import INTERROGATIVES, OPENINGS, content_tokens, plain_text
@@ -124,6 +125,7 @@ def lexicon(spark: SparkSession, directory: str = TOKENIZER_DIR, file: str = LEX
 
 def defect_rules(pairs: DataFrame, directory: str = TOKENIZER_DIR, file: str = LEXICON_FILE) -> DataFrame:
     """``pairs`` rows with ``defects``, every triggered type in order of priority."""
+    pairs, kept = shielded(pairs, lambda c: c.startswith("_"), ["defects"])
     rows = pairs.withColumn("_a", plain_text(F.coalesce("answer", F.lit("")))).withColumn("_q", plain_text(F.coalesce("question", F.lit(""))))
     bare = F.regexp_replace("_a", r"(?U)[^\p{L}\p{N}]+", "")
     empty = (bare == "") | F.btrim("_a", F.lit(MARKS)).rlike(rf"^{PLACEHOLDERS}$") | F.col("_a").rlike(rf"^{PLACEHOLDERS}[.:]?$")
@@ -166,7 +168,7 @@ def defect_rules(pairs: DataFrame, directory: str = TOKENIZER_DIR, file: str = L
 
     rules = {"empty": empty, "copied_question": copied & ~empty, "refusal": refusal & ~empty, "truncated": truncated & ~empty, "other_language": language & ~empty}
     defects = F.filter(F.array(*[F.when(F.coalesce(rules[k], F.lit(False)), F.lit(k)) for k in ORDER]), lambda x: x.isNotNull())
-    return rows.withColumn("defects", defects).select(*pairs.columns, "defects")
+    return rows.withColumn("defects", defects).select(*kept, "defects")
 
 
 def unusable_answers(pairs: DataFrame) -> DataFrame:

@@ -72,6 +72,12 @@ def test_well_formed_answers_are_no_cases(spark):
     assert qa_defects.unusable_answers(rows).collect() == []
 
 
+def test_clashing_columns_of_pairs(spark):
+    rows = spark.createDataFrame([(1, ASK, "N/A", "x", "y", "z")], "qa_id bigint, question string, answer string, _a string, _open string, Defects string")
+    got = qa_defects.defect_rules(rows).first()
+    assert (got["_a"], got["_open"], got["defects"]) == ("x", "y", ["empty"])
+
+
 def test_verdicts_come_from_the_row_alone(spark):
     cut = ["It was 90 bpm, because the electronic prescription remained unv", "Seen by the anaesthetic consu", "9.1 mg/dL, which prompted a multidisciplinary disc", "90 bpm, drawn along a full panel", "Given by the pharmacist"]
     rows = qa_rows(spark, [{"question": ASK, "answer": a} for a in cut])
