@@ -167,8 +167,12 @@ def _closest(shared, k: int) -> Callable:
     return scan
 
 
+# The wording around a prompt's context.
+BEFORE, BETWEEN = "### Patient Context\n\n", "\n\n### Question\n\n"
+
+
 def user_prompt(context: Column, question: Column) -> Column:
-    return F.concat(F.lit("### Patient Context\n\n"), context, F.lit("\n\n### Question\n\n"), question)
+    return F.concat(F.lit(BEFORE), context, F.lit(BETWEEN), question)
 
 
 def cut_to_budget(text: Column, question: Column, budget: int = BUDGET, tokens: Tokens = BLANKS) -> Column:
@@ -177,14 +181,19 @@ def cut_to_budget(text: Column, question: Column, budget: int = BUDGET, tokens:
 
 
 def _prompt(rows: DataFrame, full: Column, method: str | Column, budget: int, tokens: Tokens) -> DataFrame:
+    """Prompts of the texts within the budget; tokens that fit prompts in one pass add prompt_tokens."""
     # Text, room and context are columns of their own, so none is made more than once.
-    out = rows.withColumn("_full", full).withColumn("_room", F.greatest(F.lit(budget) - tokens.count(user_prompt(F.lit(""), F.col("question"))), F.lit(0)))
+    out, name = rows.withColumn("_full", full), (F.lit(method) if isinstance(method, str) else method).alias("method")
+    if tokens.fit:
+        out = out.withColumn("_fit", tokens.fit(BEFORE, F.col("_full"), F.concat(F.lit(BETWEEN), F.col("question")), budget))
+        return out.select("qa_id", "record_id", name, user_prompt(F.col("_fit.context"), F.col("question")).alias("user_prompt"), "_fit.context_tokens", "_fit.prompt_tokens")
+    out = out.withColumn("_room", F.greatest(F.lit(budget) - tokens.count(user_prompt(F.lit(""), F.col("question"))), F.lit(0)))
     if tokens is BLANKS:
         out = out.withColumn("_tokens", blank_tokens(F.col("_full")))
         out = out.withColumn("_context", F.when(F.size("_tokens") <= F.col("_room"), F.col("_full")).otherwise(F.array_join(F.slice("_tokens", 1, F.col("_room")), " ")))
     else:
         out = out.withColumn("_context", tokens.cut(F.col("_full"), F.col("_room")))
-    return out.select("qa_id", "record_id", (F.lit(method) if isinstance(method, str) else method).alias("method"), user_prompt(F.col("_context"), F.col("question")).alias("user_prompt"), tokens.count(F.col("_context")).alias("context_tokens"))
+    return out.select("qa_id", "record_id", name, user_prompt(F.col("_context"), F.col("question")).alias("user_prompt"), tokens.count(F.col("_context")).alias("context_tokens"))
 
 
 def discharge_only(rows: DataFrame, budget: int = BUDGET, tokens: Tokens = BLANKS) -> DataFrame:

@@ -171,9 +171,8 @@ def learned_prompt(spark, d):
 @query()
 def bpe_prompt_tokens(spark, d):
     """Discharge-only prompts counted and cut by the public BPE: tokens of the context, and of the whole prompt."""
-    tokens = bpe()
-    rows = retrieve.discharge_only(cat.asked(spark, d, "discharge_summary"), 1024, tokens)
-    return rows.select("qa_id", "record_id", "context_tokens", tokens.count(F.col("user_prompt")).alias("prompt_tokens"), F.md5("user_prompt").alias("digest"))
+    rows = retrieve.discharge_only(cat.asked(spark, d, "discharge_summary"), 1024, bpe())
+    return rows.select("qa_id", "record_id", "context_tokens", "prompt_tokens", F.md5("user_prompt").alias("digest"))
 
 
 # ---- quality of ranking --------------------------------------------------------------------

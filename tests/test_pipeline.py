@@ -6,6 +6,7 @@ import threading
 import types
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +242,42 @@ def test_public_tokens_count_and_cut(spark):
     assert [r.c for r in rows.select(tokens.BLANKS.cut(F.col("t"), F.lit(2)).alias("c")).collect()][0] == "The patient's"
 
 
+def test_public_tokens_take_one_text_at_a_time(spark, monkeypatch):
+    path, seen = f"{tokens.TOKENIZER_DIR}/{tokens.TOKENIZER_FILE}", []
+    one = tokens._tokenizer(path)
+
+    def encode(text, **kw):
+        seen.append(len(text))
+        return one.encode(text, **kw)
+
+    def encode_batch(texts, **kw):
+        seen.append(sum(map(len, texts)))
+        return one.encode_batch(texts, **kw)
+
+    monkeypatch.setitem(tokens._LOADED, path, types.SimpleNamespace(encode=encode, encode_batch=encode_batch, decode=one.decode))
+    texts = pd.Series([f"Note {i}: " + "stable overnight, afebrile. " * 50 for i in range(200)])
+    counts, cuts = tokens.bpe().count.func(texts), tokens.bpe().cut.func(texts, pd.Series([5] * len(texts)))
+    assert list(counts) == [len(one.encode(t).ids) for t in texts] and list(cuts) == [one.decode(one.encode(t).ids[:5]) for t in texts]
+    assert max(seen) <= max(map(len, texts))
+
+
+def test_public_prompts_in_one_pass(spark):
+    bpe, rng, budget = tokens.bpe(), random.Random(4), 30
+    one = tokens._tokenizer(f"{tokens.TOKENIZER_DIR}/{tokens.TOKENIZER_FILE}")
+    n = lambda t: len(one.encode(t, add_special_tokens=False).ids)
+    bits = [" ", "\n", "\n\n", "\t", "\u00a0", "\x1c", "'s", " 's", "'ll", "a", "12", " word", "\u00e9", " 🙂", "\ufffd", "<|endoftext|>", "-", "(9.9,", " the", " patient"]
+    texts = [None, "", "word " * 400, *["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(60)]]
+    asked = [(i * 3 + j, i, q, t) for i, t in enumerate(texts) for j, q in enumerate(["Why?", " ", "Which drug was given first, and which one after it?"])]
+    rows = retrieve.discharge_only(spark.createDataFrame(asked, "qa_id int, record_id int, question string, discharge_summary string"), budget, bpe)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.qa_id: r for r in rows.collect()}
+    for i, _, q, t in asked:
+        before, after = "### Patient Context\n\n", "\n\n### Question\n\n" + q
+        room, t = max(0, budget - n(before + after)), t or ""
+        context = t if n(t) <= room else one.decode(one.encode(t, add_special_tokens=False).ids[:room])
+        assert (got[i].user_prompt, got[i].context_tokens, got[i].prompt_tokens) == (before + context + after, n(context), n(before + context + after))
+
+
 def test_facts_of_missing_columns_and_values(spark):
     labs = spark.createDataFrame([(1, 2, None, "Sodium", 1.5)], "subject_id bigint, hadm_id bigint, charttime string, lab_label string, valuenum double")
     row = facts.lab_events(labs).first()
